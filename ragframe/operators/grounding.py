@@ -56,20 +56,46 @@ def sources(hits: DataFrame) -> DataFrame:
     )
 
 
-def source_lists(hits: DataFrame) -> DataFrame:
-    """Sources of a query as one ordered list of (source_id, meta)."""
+def summary(hits: DataFrame) -> DataFrame:
+    """Everything the gate and the response need of a query's hits, in one pass.
+
+    n_docs, n_sources (named ones), best_score, and the sources in order as
+    ``sources`` (source_id, meta) and ``source_ids``.
+    """
+    named = F.coalesce(F.col("source_id") != "", F.lit(False))
+    per_source = (
+        hits.withColumns({"_meta": hit_meta(hits), "_named": named, "source_id": _source()})
+        .groupBy("query_id", "source_id")
+        .agg(
+            F.min("rank").alias("position"),
+            F.max_by("_meta", "rank").alias("meta"),
+            F.count(F.lit(1)).alias("_docs"),
+            F.min("score").alias("_best"),
+            F.max(F.col("_named").cast("int")).alias("_named"),
+        )
+    )
     entry = F.struct("position", "source_id", "meta")
     ordered = F.array_sort(F.collect_list(entry), lambda a, b: a["position"] - b["position"])
-    return (
-        sources(hits)
-        .groupBy("query_id")
-        .agg(ordered.alias("_sources"))
-        .select(
-            "query_id",
-            F.transform("_sources", lambda s: F.struct(s["source_id"], s["meta"])).alias("sources"),
-            F.transform("_sources", lambda s: s["source_id"]).alias("source_ids"),
-        )
+    per_query = per_source.groupBy("query_id").agg(
+        F.sum("_docs").alias("n_docs"),
+        F.sum("_named").cast("bigint").alias("n_sources"),
+        F.min("_best").alias("best_score"),
+        ordered.alias("_sources"),
     )
+    pairs = F.transform("_sources", lambda s: F.struct(s["source_id"], s["meta"]))
+    return per_query.select(
+        "query_id",
+        "n_docs",
+        "n_sources",
+        "best_score",
+        pairs.alias("sources"),
+        F.transform("_sources", lambda s: s["source_id"]).alias("source_ids"),
+    )
+
+
+def source_lists(hits: DataFrame) -> DataFrame:
+    """Sources of a query as one ordered list."""
+    return summary(hits).select("query_id", "sources", "source_ids")
 
 
 def grounded(
@@ -82,13 +108,9 @@ def grounded(
     """Gate per query: enough hits, enough sources, nearest within the threshold.
 
     ``queries`` may carry min_docs, min_unique_sources and threshold columns of
-    their own. A query without hits gets a row too, and fails.
+    their own. A query without hits gets a row too, and fails. The sources of
+    the hits come along.
     """
-    seen = hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.countDistinct(F.nullif("source_id", F.lit(""))).alias("n_sources"),
-        F.min("score").alias("best_score"),
-    )
     limits = {
         "min_docs": min_docs,
         "min_unique_sources": min_unique_sources,
@@ -98,20 +120,22 @@ def grounded(
         F.col("query_id").cast("string").alias("query_id"),
         *[(F.col(n) if n in queries.columns else F.lit(v)).alias(n) for n, v in limits.items()],
     )
-    joined = asked.join(seen, "query_id", "left")
-    n_docs = F.coalesce("n_docs", F.lit(0))
-    n_sources = F.coalesce("n_sources", F.lit(0))
+    joined = asked.join(summary(hits), "query_id", "left").fillna(
+        0, ["n_docs", "n_sources"]
+    )
     ok = (
-        (n_docs >= F.col("min_docs"))
-        & (n_sources >= F.col("min_unique_sources"))
+        (F.col("n_docs") >= F.col("min_docs"))
+        & (F.col("n_sources") >= F.col("min_unique_sources"))
         & (F.col("best_score") <= F.col("threshold"))
     )
     return joined.select(
         "query_id",
-        n_docs.alias("n_docs"),
-        n_sources.alias("n_sources"),
+        "n_docs",
+        "n_sources",
         "best_score",
         F.coalesce(ok, F.lit(False)).alias("grounded"),
+        "sources",
+        "source_ids",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ragframe.functions.params import resolve_params
 from ragframe.functions.text import redact
 from ragframe.operators.answers import normalized, response
-from ragframe.operators.grounding import grounded, prompts, source_lists
+from ragframe.operators.grounding import grounded, prompts
 from ragframe.operators.search import search
 from ragframe.settings import (
     ERR_CONTEXT,
@@ -35,8 +35,9 @@ def retrieved(
     """
     min_docs, min_unique, caller, _ = TOOL_GATES["ask"]
     resolved = resolve_params(queries, defaults, caller)
-    gate = grounded(hits, resolved, min_docs, min_unique)
-    return gate.select("query_id", "grounded").join(source_lists(hits), "query_id", "left")
+    return grounded(hits, resolved, min_docs, min_unique).select(
+        "query_id", "grounded", "sources", "source_ids"
+    )
 
 
 def ask_prompts(
