@@ -985,7 +985,7 @@ def metric_means(spark, sf):
 
 
 def _truths(spark, sf) -> DataFrame:
-    return fx.queries(spark, sf).drop("k").withColumn("ground_truth", F.upper("question"))
+    return fx.queries(spark, sf).drop("k").withColumn("ground_truth", F.concat(F.lit("truth "), "question"))
 
 
 def _drafts(spark, sf, hits: DataFrame) -> DataFrame:
@@ -1050,7 +1050,7 @@ EVAL_SQL = [
     FINAL_SQL,
     """
 evals AS (
-  SELECT query_id, question, final_answer AS answer, c.contexts, upper(question) AS ground_truth
+  SELECT query_id, question, final_answer AS answer, c.contexts, 'truth ' || question AS ground_truth
   FROM shown LEFT JOIN (SELECT query_id, list(text ORDER BY rank) AS contexts FROM hits GROUP BY ALL) c USING (query_id))""",
 ]
 
@@ -1091,7 +1091,7 @@ def lexical_quality(spark, sf):
 WITH cases AS (SELECT conv_id || '-' || turn AS case_id, text AS output FROM conversations),
 rules AS (
   SELECT case_id, 'contains' AS kind, 'die' AS value FROM cases UNION ALL
-  SELECT case_id, 'regex', '\b[a-m]\w*\.' FROM cases UNION ALL
+  SELECT case_id, 'regex', '[a-m]+\.' FROM cases UNION ALL
   SELECT case_id, 'contains', case_id FROM cases WHERE case_id LIKE '%0')
 SELECT case_id, count(*)::BIGINT AS rules, sum(ok::INT)::BIGINT AS passed, bool_and(ok) AS all_passed
 FROM (SELECT r.case_id, CASE WHEN kind = 'contains' THEN contains(output, value) ELSE regexp_matches(output, value) END AS ok
@@ -1105,7 +1105,7 @@ def prompt_assertions(spark, sf):
     )
     given = F.array(
         F.struct(F.lit("contains").alias("kind"), F.lit("die").alias("value")),
-        F.struct(F.lit("regex").alias("kind"), F.lit(r"\b[a-m]\w*\.").alias("value")),
+        F.struct(F.lit("regex").alias("kind"), F.lit(r"[a-m]+\.").alias("value")),
         F.struct(
             F.when(F.col("case_id").endswith("0"), "contains").alias("kind"),
             F.col("case_id").alias("value"),
