@@ -1,6 +1,6 @@
 """Exact nearest neighbours of a block of queries in one scan of the store.
 
-The block (bounded in rows and bytes, see ``blocks.py``) is broadcast; every
+The block (bounded in rows and bytes, see ``query_blocks``) is broadcast; every
 task multiplies its Arrow batches with it and keeps a running best list per
 query, so a task returns at most ``fetch_k`` rows per query and pairs are never
 materialised. A window over those short lists makes the final cut.
@@ -29,6 +29,9 @@ class QueryBlock:
     vectors: np.ndarray
     scopes: list[str]
     fetch_k: np.ndarray
+    modes: set[str]
+    question_bytes: int = 0
+    only: bool = True
     signatures: np.ndarray | None = None
 
     @property

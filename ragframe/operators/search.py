@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from ragframe.functions.params import resolve_params
 from ragframe.functions.text import overlap_share, tokens
 from ragframe.functions.vectors import EmbedFn, embed
 from ragframe.operators.scoring import QueryBlock, nearest, unit_rows
-from ragframe.session import checkpointed
+from ragframe.session import checkpointed, new_path
 from ragframe.settings import (
     QUERY_BLOCK_BYTES,
     QUERY_BLOCK_HITS,
@@ -25,7 +24,6 @@ from ragframe.settings import (
 )
 
 _PARAMS = ("query_id", "question", "mode", "scope", "k", "fetch_k", "alpha")
-_BLOCK_COLUMNS = ("query_id", "qvec", "mode", "scope", "fetch_k")
 
 
 def search(
@@ -53,11 +51,20 @@ def search(
     if "qvec" not in resolved.columns:
         resolved = embed(resolved, "question", "qvec", embed_fn)
     resolved = resolved.withColumn("query_id", F.col("query_id").cast("string"))
-    parts = [
-        _search_block(store, rows, block, modes, base, approx)
-        for rows, block, modes in query_blocks(resolved)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    blocks = query_blocks(resolved)
+    rows, block = next(blocks)
+    hits = _search_block(store, rows, block, base, approx)
+    if block.only:
+        return hits
+    # Many queries: one block after the other is searched and its hits written,
+    # so that neither the driver nor a plan ever holds more than one block.
+    target = new_path(store.sparkSession, "hits")
+    while True:
+        hits.write.mode("append").parquet(target)
+        following = next(blocks, None)
+        if following is None:
+            return store.sparkSession.read.parquet(target)
+        hits = _search_block(store, *following, base, approx)
 
 
 def similarity_topk(store: DataFrame, queries: DataFrame, **options) -> DataFrame:
@@ -83,7 +90,7 @@ def report(hits: DataFrame, queries: DataFrame) -> DataFrame:
 # --- blocks of queries -------------------------------------------------------
 
 
-def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock, set[str]]]:
+def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock]]:
     """Split the queries into blocks that are safe to broadcast.
 
     The bound is checked, not assumed: one block is tried with a row limit and
@@ -92,10 +99,10 @@ def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock, s
     them is fetched. Scoring a block costs more than re-reading the vectors for
     it, so one scan of the store per block is the right price for many queries.
     """
-    first = resolved.select(*_BLOCK_COLUMNS).limit(QUERY_BLOCK_ROWS + 1).toPandas()
+    first = _fetch(resolved.limit(QUERY_BLOCK_ROWS + 1))
     limit = _rows_for_vectors(first)
-    if len(first) <= limit and _fits(first):
-        yield resolved, _to_block(first), set(first["mode"])
+    if len(first) <= min(limit, _rows_for_hits(first["fetch_k"].max() if len(first) else 1)):
+        yield resolved, _to_block(first, only=True)
         return
     saved = checkpointed(resolved)
     total, deepest = saved.agg(F.count(F.lit(1)), F.max("fetch_k")).first()
@@ -111,32 +118,39 @@ def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock, s
         cuts *= 2
     for i in range(cuts):
         rows = saved.filter(cut == i)
-        block = rows.select(*_BLOCK_COLUMNS).toPandas()
-        if len(block):
-            yield rows, _to_block(block), set(block["mode"])
+        block = _to_block(_fetch(rows))
+        if block.ids:
+            yield rows, block
 
 
-def _rows_for_vectors(sample: pd.DataFrame) -> int:
-    dim = max((len(v) for v in sample["qvec"] if v is not None), default=1)
-    return min(QUERY_BLOCK_ROWS, max(1, QUERY_BLOCK_BYTES // (8 * max(1, dim))))
+def _fetch(rows: DataFrame) -> pd.DataFrame:
+    size = F.octet_length(F.coalesce("question", F.lit(""))).alias("question_bytes")
+    return rows.select("query_id", "qvec", "mode", "scope", "fetch_k", size).toPandas()
 
 
-def _rows_for_hits(fetch_k: int) -> int:
-    return max(1, QUERY_BLOCK_HITS // int(fetch_k))
+def _dim(rows: pd.DataFrame) -> int:
+    return max((len(v) for v in rows["qvec"] if v is not None), default=1)
+
 
+def _rows_for_vectors(rows: pd.DataFrame) -> int:
+    return min(QUERY_BLOCK_ROWS, max(1, QUERY_BLOCK_BYTES // (8 * max(1, _dim(rows)))))
 
-def _fits(rows: pd.DataFrame) -> bool:
-    return not len(rows) or len(rows) <= _rows_for_hits(rows["fetch_k"].max())
+
+def _rows_for_hits(fetch_k: int) -> int:
+    return max(1, QUERY_BLOCK_HITS // int(fetch_k))
 
 
-def _to_block(rows: pd.DataFrame) -> QueryBlock:
-    dim = max((len(v) for v in rows["qvec"] if v is not None), default=1)
+def _to_block(rows: pd.DataFrame, only: bool = False) -> QueryBlock:
+    dim = _dim(rows)
     vectors = [v if v is not None else np.zeros(dim) for v in rows["qvec"]]
     return QueryBlock(
         ids=rows["query_id"].tolist(),
         vectors=unit_rows(np.array(vectors, dtype=np.float64).reshape(-1, dim)),
         scopes=rows["scope"].tolist(),
         fetch_k=rows["fetch_k"].to_numpy(dtype=np.int64),
+        modes=set(rows["mode"]),
+        question_bytes=int(rows["question_bytes"].sum()),
+        only=only,
     )
 
 
@@ -147,21 +161,23 @@ def _search_block(
     store: DataFrame,
     rows: DataFrame,
     block: QueryBlock,
-    modes: set[str],
     defaults: RetrievalDefaults,
     approx: SignIndex | None,
 ) -> DataFrame:
+    modes = block.modes
     if approx is None:
         candidates = nearest(store, block)
     else:
         block.signatures = approx.codes(block.vectors)
         candidates = nearest(store, block, approx.codes)
-    # At most one row per query of a block whose size was checked.
-    candidates = candidates.join(
-        F.broadcast(rows.select(*[c for c in _PARAMS if c in rows.columns])), "query_id"
-    ).filter(F.col("vec_rank") <= F.col("fetch_k"))
+    asked = rows.select(*[c for c in _PARAMS if c != "question" or "hybrid" in modes])
+    if "hybrid" not in modes or block.question_bytes <= QUERY_BLOCK_BYTES:
+        asked = F.broadcast(asked)
+    candidates = candidates.join(asked, "query_id").filter(F.col("vec_rank") <= F.col("fetch_k"))
     payload = [c for c in store.columns if c != "embedding" or "mmr" in modes]
-    if len(block.ids) * block.max_fetch <= QUERY_BLOCK_HITS:
+    if len(block.ids) * block.max_fetch <= QUERY_BLOCK_HITS and (
+        "hybrid" not in modes or block.question_bytes * block.max_fetch <= QUERY_BLOCK_BYTES
+    ):
         # Bounded by queries x depth: the store is filtered in place by chunk id.
         candidates = F.broadcast(candidates)
     found = store.select(*payload).join(candidates, "chunk_id")
@@ -176,7 +192,7 @@ def _search_block(
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(
             F.col("rank") <= F.col("k")
         )
-    kept = [c for c in payload if c not in ("embedding", "bucket")]
+    kept = [c for c in payload if c != "embedding"]
     return ranked.select("query_id", "rank", *kept, "score", "vec_score", "vec_rank")
 
 

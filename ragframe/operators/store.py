@@ -1,41 +1,42 @@
 """The chunk store: rows with vectors, replaced source by source.
 
-Layout: Parquet partitioned by ``doc_type`` and ``bucket``. A bucket is a hash
-of the source id and of the chunk number's block, so that a source with very
-many chunks (or pages) spreads over buckets instead of filling one.
+On disk an upsert only adds: the batch's chunks, the list of stored sources it
+replaces, and at last one commit row. Readers take the committed batches and
+leave out chunks whose source a later batch replaced. The cost of an upsert
+follows the size of the batch, not of the store; :func:`compact` folds the
+batches together when the lists have grown.
+
+Chunks lie in Parquet, partitioned by batch and ``doc_type``. Nothing is laid
+out by source, so a source with very many chunks fills no single file or task.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragframe.functions.ids import with_source_path
-from ragframe.settings import BROADCAST_ROWS, BUCKET_BLOCK, PAGE_MARK, STORE_BUCKETS
+from ragframe.settings import BROADCAST_ROWS, PAGE_MARK
 from ragframe.sources import paths
 
-PARTITIONS = ("doc_type", "bucket")
-CHUNK_COLUMNS = (
-    "chunk_id",
-    "source_id",
-    "source_path",
-    "doc_type",
-    "chunk_index",
-    "h1",
-    "h2",
-    "h3",
-    "text",
-    "embedding",
+CHUNK_SCHEMA = T.StructType(
+    [
+        T.StructField("chunk_id", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("source_path", T.StringType()),
+        T.StructField("chunk_index", T.IntegerType()),
+        T.StructField("h1", T.StringType()),
+        T.StructField("h2", T.StringType()),
+        T.StructField("h3", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("doc_type", T.StringType()),
+    ]
 )
 _SOURCE = ("source_id", "source_path")
-
-
-def bucket(source_id: Column, chunk_index: Column, buckets: int = STORE_BUCKETS) -> Column:
-    block = F.floor(chunk_index / BUCKET_BLOCK)
-    return F.pmod(F.xxhash64(source_id, block), F.lit(buckets)).cast("int")
+_SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _SOURCE])
+_STATS = ("status", "raw_docs", "chunks", "replaced_sources", "replaced_points")
 
 
 def source_paths(chunks: DataFrame) -> DataFrame:
@@ -126,87 +127,132 @@ def ingest_stats(
 # --- the store on disk -------------------------------------------------------
 
 
-def write_store(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write chunks as a store. Rebalancing splits a bucket that is too large for
-    one task and gathers small ones, from sizes known at run time."""
-    _write(_bucketed(chunks), path, mode)
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of batches; the schema is given, as a batch may have no rows."""
+    return spark.read.schema(_batched(schema)).parquet(path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("chunk_id").isNotNull())
+def _batched(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch: number, label, first batch still in use, statistics."""
+    schema = T.StructType(
+        [
+            T.StructField("label", T.StringType()),
+            T.StructField("since", T.LongType()),
+            T.StructField("status", T.StringType()),
+            *[T.StructField(c, T.LongType()) for c in _STATS[1:]],
+        ]
+    )
+    if not paths.exists(spark, f"{path}/commits"):
+        return spark.createDataFrame([], _batched(schema))
+    return _table(spark, f"{path}/commits", schema)
+
+
+def _range(spark: SparkSession, path: str) -> tuple[int, int]:
+    """First and last batch that readers use; (0, -1) for no store."""
+    row = commits(spark, path).agg(F.max("since"), F.max("batch")).first()
+    return (0, -1) if row[1] is None else (row[0], row[1])
 
 
-def _bucketed(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("bucket", bucket(F.col("source_id"), F.col("chunk_index")))
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of the store that no later batch replaced."""
+    since, last = _range(spark, path)
+    if last < 0:
+        return spark.createDataFrame([], CHUNK_SCHEMA)
+    chunks = _table(spark, f"{path}/chunks", CHUNK_SCHEMA).filter(
+        F.col("batch").between(since, last)
+    )
+    if not paths.exists(spark, f"{path}/replaced"):
+        return chunks.drop("batch")
+    gone = (
+        _table(spark, f"{path}/replaced", _SOURCE_SCHEMA)
+        .filter((F.col("batch") > since) & (F.col("batch") <= last))
+        .groupBy(*_SOURCE)
+        .agg(F.max("batch").alias("batch"))
+    )
+    later = _sources_match() & (F.col("s.batch") < F.col("r.batch"))
+    return chunks.alias("s").join(_small(gone).alias("r"), later, "left_anti").drop("batch")
 
 
-def _write(rows: DataFrame, path: str, mode: str, partition_mode: str = "static") -> None:
+def _write(chunks: DataFrame, path: str) -> None:
+    """Even files per document type, sized at run time from what is written."""
     (
-        rows.hint("rebalance", *[F.col(c) for c in PARTITIONS])
-        .write.mode(mode)
-        .option("partitionOverwriteMode", partition_mode)
-        .partitionBy(*PARTITIONS)
+        chunks.select(
+            *[
+                (F.col(f.name) if f.name in chunks.columns else F.lit(None))
+                .cast(f.dataType)
+                .alias(f.name)
+                for f in CHUNK_SCHEMA.fields
+            ]
+        )
+        .hint("rebalance", F.col("doc_type"))
+        .write.mode("overwrite")
+        .partitionBy("doc_type")
         .parquet(path)
     )
 
 
+def _commit(stats: DataFrame, path: str, batch: int, since: int, label: str | None) -> DataFrame:
+    row = stats.withColumns(
+        {"label": F.lit(label).cast("string"), "since": F.lit(since).cast("bigint")}
+    )
+    target = f"{path}/commits/batch={batch}"
+    row.coalesce(1).write.mode("overwrite").parquet(target)
+    return stats.sparkSession.read.parquet(target).select(*_STATS)
+
+
+def write_store(chunks: DataFrame, path: str) -> DataFrame:
+    """Start a store with these chunks, or upsert them into the one at ``path``."""
+    return upsert_store(chunks.sparkSession, path, chunks)
+
+
 def upsert_store(
     spark: SparkSession,
     path: str,
     chunks: DataFrame,
     documents: DataFrame | None = None,
-    batch_id: str | None = None,
+    label: str | None = None,
 ) -> DataFrame:
-    """Replace-by-source upsert into the store at ``path``; returns the statistics.
+    """Replace-by-source upsert; returns the statistics row.
 
-    Only the partitions that lose or gain rows are rewritten. New and surviving
-    rows are first written next to the store, and the store partitions are then
-    overwritten from there: a run that dies can be repeated, also half way
-    through. Written twice or run twice, the result is the same.
+    Until the commit row is there, readers see the store as before, and a run
+    that dies is repeated under the same batch number. A ``label`` that was
+    committed before is not applied again. One writer at a time.
     """
-    staging = f"{path.rstrip('/')}__staging/{batch_id or uuid.uuid4().hex}"
-    arriving = _bucketed(with_source_path(chunks))
-    arriving.write.mode("overwrite").parquet(f"{staging}/incoming")
-    incoming = spark.read.parquet(f"{staging}/incoming")
-    if not paths.exists(spark, path):
-        stats = ingest_stats(incoming, incoming.limit(0), documents)
-        stats.write.mode("overwrite").parquet(f"{staging}/stats")
-        _write(incoming, path, "overwrite")
-        return _finish(spark, staging)
-
+    since, last = _range(spark, path)
+    if label is not None:
+        before = commits(spark, path).filter(F.col("label") == label)
+        if before.limit(1).count():
+            return before.select(*_STATS)
+    batch = last + 1
+    target = f"{path}/chunks/batch={batch}"
+    _write(with_source_path(chunks), target)
+    # Chunks are split and embedded once; the rest reads what was written.
+    incoming = spark.read.schema(CHUNK_SCHEMA).parquet(target)
     store = read_store(spark, path)
+    replaced_path = f"{path}/replaced/batch={batch}"
     targets = incoming.select("source_path").distinct()
-    replaced_sources(store, targets).write.mode("overwrite").parquet(f"{staging}/replaced")
-    hit = _small(spark.read.parquet(f"{staging}/replaced"))
-    gone = store.alias("s").join(hit.alias("r"), _sources_match(), "left_semi")
-    ingest_stats(incoming, gone, documents).write.mode("overwrite").parquet(f"{staging}/stats")
-
-    # Partitions to rewrite: at most two document types x the number of buckets.
-    touched = gone.select(*PARTITIONS).union(incoming.select(*PARTITIONS)).distinct().collect()
-    if not touched:
-        return _finish(spark, staging)
-    # The condition reads partition columns only, so that other partitions are not scanned.
-    in_reach = F.concat_ws("/", *PARTITIONS).isin([f"{r.doc_type}/{r.bucket}" for r in touched])
-    kept = store.filter(in_reach).alias("s").join(hit.alias("r"), _sources_match(), "left_anti")
-    # A partition that loses all rows is overwritten by a marker without chunk id,
-    # which readers skip; otherwise its old files would stay.
-    marker = spark.createDataFrame(
-        [(r.doc_type, r.bucket) for r in touched],
-        T.StructType([store.schema["doc_type"], store.schema["bucket"]]),
-    )
-    merged = kept.unionByName(incoming, allowMissingColumns=True).unionByName(
-        marker, allowMissingColumns=True
-    )
-    _write(merged, f"{staging}/merged", "overwrite")
-    _write(spark.read.parquet(f"{staging}/merged"), path, "overwrite", "dynamic")
-    return _finish(spark, staging)
-
-
-def _finish(spark: SparkSession, staging: str) -> DataFrame:
-    """Hand over the statistics (one row) and drop the staged rows."""
-    row = spark.read.parquet(f"{staging}/stats")
-    stats = spark.createDataFrame(row.collect(), row.schema)
-    paths.remove(spark, staging)
+    replaced_sources(store, targets).write.mode("overwrite").parquet(replaced_path)
+    hit = spark.read.schema(_SOURCE_SCHEMA).parquet(replaced_path)
+    gone = store.alias("s").join(_small(hit).alias("r"), _sources_match(), "left_semi")
+    return _commit(ingest_stats(incoming, gone, documents), path, batch, since, label)
+
+
+def compact(spark: SparkSession, path: str) -> DataFrame:
+    """Write the visible chunks as one new batch and drop the batches before it."""
+    since, last = _range(spark, path)
+    batch = last + 1
+    target = f"{path}/chunks/batch={batch}"
+    live = read_store(spark, path)
+    _write(live, target)
+    kept = spark.read.schema(CHUNK_SCHEMA).parquet(target)
+    stats = _commit(ingest_stats(kept, kept.limit(0)), path, batch, batch, None)
+    for old in range(since, batch):
+        paths.remove(spark, f"{path}/chunks/batch={old}")
+        paths.remove(spark, f"{path}/replaced/batch={old}")
     return stats
 
 
@@ -216,7 +262,7 @@ def sample(store: DataFrame, limit: int = 10, after: str | None = None) -> DataF
     The last id of a page is the ``after`` of the next one.
     """
     wanted = store if after is None else store.filter(F.col("chunk_id") > after)
-    fields = [c for c in store.columns if c not in ("chunk_id", "embedding", "bucket")]
+    fields = [c for c in store.columns if c not in ("chunk_id", "embedding")]
     keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fields]))
     return (
         wanted.orderBy("chunk_id")
@@ -227,7 +273,7 @@ def sample(store: DataFrame, limit: int = 10, after: str | None = None) -> DataF
 
 def store_info(spark: SparkSession, path: str) -> DataFrame:
     """Does the store exist, and how many chunks does it hold?"""
-    if not paths.exists(spark, path):
+    if _range(spark, path)[1] < 0:
         return spark.createDataFrame([(False, 0)], "store_exists boolean, points_count bigint")
     return read_store(spark, path).agg(
         F.lit(True).alias("store_exists"), F.count(F.lit(1)).alias("points_count")

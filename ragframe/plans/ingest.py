@@ -33,11 +33,11 @@ def ingest_documents(
     documents: DataFrame,
     store_path: str,
     embed_fn: EmbedFn | None = None,
-    batch_id: str | None = None,
+    label: str | None = None,
 ) -> DataFrame:
     """Chunk, embed and upsert redacted documents; returns the statistics row."""
     chunks = embedded_chunks(documents, embed_fn)
-    return upsert_store(spark, store_path, chunks, documents, batch_id)
+    return upsert_store(spark, store_path, chunks, documents, label)
 
 
 def load_documents(spark: SparkSession, base: str, page_texts=None) -> DataFrame:

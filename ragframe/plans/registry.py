@@ -209,7 +209,7 @@ def _stored_view(df: DataFrame) -> DataFrame:
 
 @register("write_chunks", with_(sql.STORE, select=f"SELECT {STORE_COLUMNS} FROM chunks"))
 def write_chunks(spark, sf):
-    """Embedded chunks written as a bucketed store, read back."""
+    """Embedded chunks written as a store, read back."""
     path = new_path(spark, "store")
     store.write_store(fx.store(spark, sf), path)
     return _stored_view(store.read_store(spark, path))
@@ -226,13 +226,13 @@ WHERE starts_with(source_path, 'external/')""",
     ),
 )
 def upsert_store(spark, sf):
-    """A store on disk whose external sources are replaced, twice the same way."""
+    """A store on disk whose external sources are replaced, then compacted."""
     path = new_path(spark, "store")
     store.upsert_store(spark, path, fx.store(spark, sf))
     external = fx.chunks(spark, sf).filter(F.col("doc_type") == "external")
     changed = embed(external.withColumn("text", F.concat("text", F.lit("!"))))
-    for batch_id in ("first", "again"):
-        store.upsert_store(spark, path, changed, batch_id=batch_id)
+    store.upsert_store(spark, path, changed, label="change")
+    store.compact(spark, path)
     return _stored_view(store.read_store(spark, path))
 
 
@@ -265,19 +265,27 @@ def write_eval_json(spark, sf):
     with_(
         sql.STORE,
         select="""
-SELECT chunk_id, source_id, doc_type,
-  'chunk_index|doc_type|h1|source_id|source_path|text' AS metadata_keys,
-  (SELECT count(*) FROM chunks)::BIGINT AS points_count
+SELECT chunk_id, source_id, doc_type, 'chunk_index|doc_type|h1|source_id|source_path|text' AS metadata_keys
 FROM chunks WHERE chunk_id > '7' ORDER BY chunk_id LIMIT 10""",
     ),
 )
 def store_sample(spark, sf):
-    """Ten chunks after an id, with the number of chunks in the store."""
-    chunks = fx.chunks(spark, sf)
-    total = chunks.agg(F.count(F.lit(1)).alias("points_count"))
-    page = store.sample(chunks, 10, "7").withColumn("metadata_keys", joined("metadata_keys"))
-    # One row beside a page of ten.
-    return page.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """The page of ten chunks that follows an id."""
+    page = store.sample(fx.chunks(spark, sf), 10, "7")
+    return page.withColumn("metadata_keys", joined("metadata_keys"))
+
+
+@register(
+    "store_info",
+    with_(
+        sql.STORE,
+        select="SELECT true AS store_exists, count(*)::BIGINT AS points_count FROM chunks",
+    ),
+)
+def store_info(spark, sf):
+    path = new_path(spark, "store")
+    store.write_store(fx.chunks(spark, sf), path)
+    return store.store_info(spark, path)
 
 
 # --- parameters --------------------------------------------------------------

@@ -149,7 +149,4 @@ SCORE_CELLS = 2_000_000
 BROADCAST_ROWS = 500_000
 # Documents of one source that are numbered together in one window group.
 INDEX_BLOCK = 4096
-# Store layout: number of hash buckets, chunks of a source that share a bucket.
-STORE_BUCKETS = 64
-BUCKET_BLOCK = 4096
 EMBEDDING_DIM = 256

@@ -25,18 +25,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Follow Parquet files of (rel_path, text) and keep the store up to date.
 
-    A batch that is run again after a failure replaces its own sources, so the
-    store ends up the same. The staging folder is named by the batch.
+    Each batch is committed under its number and the stream's checkpoint, so
+    that a batch which is run again after a failure counts once.
     """
+    checkpoint = checkpoint or f"{shared_dir(spark).rstrip('/')}/ingest-stream"
     stream = spark.readStream.schema(FILES_SCHEMA).option("maxFilesPerTrigger", max_files)
     files = stream.parquet(source).select("*", "_metadata.file_modification_time")
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         documents = text_to_documents(_latest(batch))
-        ingest_documents(batch.sparkSession, documents, store_path, embed_fn, f"stream-{batch_id}")
+        ingest_documents(batch.sparkSession, documents, store_path, embed_fn, f"{checkpoint}#{batch_id}")
 
     writer = files.writeStream.foreachBatch(upsert_batch).option(
-        "checkpointLocation", checkpoint or f"{shared_dir(spark).rstrip('/')}/ingest-stream"
+        "checkpointLocation", checkpoint
     )
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
