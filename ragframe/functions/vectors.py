@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +58,13 @@ def embed(
     """
     model = fn or hash_embedder()
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(list(np.asarray(model(texts.tolist()), dtype=np.float32)))
+            matrix = np.asarray(model(texts.to_pylist()), dtype=np.float32)
+            rows, dim = matrix.shape
+            offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
+            yield pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1)))
 
     return df.withColumn(out, run(F.col(column)))
 

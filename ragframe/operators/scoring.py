@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ class QueryBlock:
     vectors: np.ndarray
     scopes: list[str]
     fetch_k: np.ndarray
+    params: pd.DataFrame
     modes: set[str]
     question_bytes: int = 0
     only: bool = True

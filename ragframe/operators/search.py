@@ -23,7 +23,7 @@ from ragframe.settings import (
     RetrievalDefaults,
 )
 
-_PARAMS = ("query_id", "question", "mode", "scope", "k", "fetch_k", "alpha")
+_PARAMS = ("query_id", "mode", "k", "fetch_k", "alpha")
 
 
 def search(
@@ -125,7 +125,7 @@ def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock]]:
 
 def _fetch(rows: DataFrame) -> pd.DataFrame:
     size = F.octet_length(F.coalesce("question", F.lit(""))).alias("question_bytes")
-    return rows.select("query_id", "qvec", "mode", "scope", "fetch_k", size).toPandas()
+    return rows.select("qvec", "scope", *_PARAMS, size).toPandas()
 
 
 def _dim(rows: pd.DataFrame) -> int:
@@ -148,6 +148,7 @@ def _to_block(rows: pd.DataFrame, only: bool = False) -> QueryBlock:
         vectors=unit_rows(np.array(vectors, dtype=np.float64).reshape(-1, dim)),
         scopes=rows["scope"].tolist(),
         fetch_k=rows["fetch_k"].to_numpy(dtype=np.int64),
+        params=rows[list(_PARAMS)],
         modes=set(rows["mode"]),
         question_bytes=int(rows["question_bytes"].sum()),
         only=only,
@@ -170,10 +171,16 @@ def _search_block(
     else:
         block.signatures = approx.codes(block.vectors)
         candidates = nearest(store, block, approx.codes)
-    asked = rows.select(*[c for c in _PARAMS if c != "question" or "hybrid" in modes])
-    if "hybrid" not in modes or block.question_bytes <= QUERY_BLOCK_BYTES:
-        asked = F.broadcast(asked)
-    candidates = candidates.join(asked, "query_id").filter(F.col("vec_rank") <= F.col("fetch_k"))
+    # Parameters come from the block itself; the texts only where words count.
+    params = store.sparkSession.createDataFrame(block.params)
+    candidates = candidates.join(F.broadcast(params), "query_id").filter(
+        F.col("vec_rank") <= F.col("fetch_k")
+    )
+    if "hybrid" in modes:
+        asked = rows.select("query_id", "question")
+        if block.question_bytes <= QUERY_BLOCK_BYTES:
+            asked = F.broadcast(asked)
+        candidates = candidates.join(asked, "query_id")
     payload = [c for c in store.columns if c != "embedding" or "mmr" in modes]
     if len(block.ids) * block.max_fetch <= QUERY_BLOCK_HITS and (
         "hybrid" not in modes or block.question_bytes * block.max_fetch <= QUERY_BLOCK_BYTES

@@ -178,7 +178,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(chunks: DataFrame, path: str) -> None:
-    """Even files per document type, sized at run time from what is written."""
+    """Write chunks as they come: no shuffle, files follow the input splits."""
     (
         chunks.select(
             *[
@@ -188,7 +188,6 @@ def _write(chunks: DataFrame, path: str) -> None:
                 for f in CHUNK_SCHEMA.fields
             ]
         )
-        .hint("rebalance", F.col("doc_type"))
         .write.mode("overwrite")
         .partitionBy("doc_type")
         .parquet(path)

@@ -13,7 +13,7 @@ from ragframe.functions import ids
 from ragframe.functions.text import redact
 from ragframe.functions.vectors import embed
 from ragframe.operators.chunking import chunk_fixed
-from ragframe.session import spread
+from ragframe.session import new_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +78,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(chunks(spark, sf_dir))
 
 
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedded chunks as a table in the shared folder, as a search finds them."""
+    path = new_path(spark, "chunks")
+    made = embedded(spark, sf_dir)
+    made.write.partitionBy("doc_type").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts as questions, with a mix of overrides."""
     items = table(spark, sf_dir, "benchmark")

@@ -211,7 +211,7 @@ def _stored_view(df: DataFrame) -> DataFrame:
 def write_chunks(spark, sf):
     """Embedded chunks written as a store, read back."""
     path = new_path(spark, "store")
-    store.write_store(fx.store(spark, sf), path)
+    store.write_store(fx.embedded(spark, sf), path)
     return _stored_view(store.read_store(spark, path))
 
 
@@ -228,7 +228,7 @@ WHERE starts_with(source_path, 'external/')""",
 def upsert_store(spark, sf):
     """A store on disk whose external sources are replaced, then compacted."""
     path = new_path(spark, "store")
-    store.upsert_store(spark, path, fx.store(spark, sf))
+    store.upsert_store(spark, path, fx.embedded(spark, sf))
     external = fx.chunks(spark, sf).filter(F.col("doc_type") == "external")
     changed = embed(external.withColumn("text", F.concat("text", F.lit("!"))))
     store.upsert_store(spark, path, changed, label="change")
