@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ragframe.settings import SCORE_CELLS, SCORE_DECIMALS
 
-CANDIDATE_SCHEMA = "query_id string, chunk_id string, vec_score double"
+CANDIDATE_SCHEMA = "query_id string, chunk_id string, vec_score double, file string"
 
 
 @dataclass
@@ -65,8 +65,9 @@ class _Best:
         self.query = np.empty(0, dtype=np.int64)
         self.distance = np.empty(0)
         self.chunk = np.empty(0, dtype="S1")
+        self.file = np.empty(0, dtype=np.int64)
 
-    def add(self, distance: np.ndarray, chunks: np.ndarray) -> None:
+    def add(self, distance: np.ndarray, chunks: np.ndarray, files: np.ndarray) -> None:
         deepest = min(int(self.fetch_k.max()), len(distance))
         if deepest < len(distance):
             # The deepest wanted distance of this slice already bounds the list.
@@ -80,29 +81,56 @@ class _Best:
         query = np.concatenate([self.query, query])
         dist = np.concatenate([self.distance, distance[row, query[len(self.query) :]]])
         chunk = np.concatenate([self.chunk, chunks[row]])
+        file = np.concatenate([self.file, files[row]])
         order = np.lexsort((chunk, dist, query))
-        query, dist, chunk = query[order], dist[order], chunk[order]
+        query, dist, chunk, file = query[order], dist[order], chunk[order], file[order]
         begins = np.searchsorted(query, np.arange(len(self.fetch_k)))
         rank = np.arange(len(query)) - begins[query]
         kept = rank < self.fetch_k[query]
         last = rank == self.fetch_k[query] - 1
         self.limit[query[last]] = dist[last]
-        self.query, self.distance, self.chunk = query[kept], dist[kept], chunk[kept]
+        self.query, self.distance = query[kept], dist[kept]
+        self.chunk, self.file = chunk[kept], file[kept]
+
+
+class _Names:
+    """Numbers for the file names seen by a task (few, each for many rows)."""
+
+    def __init__(self):
+        self.known: list[str | None] = []
+        self._number: dict[str | None, int] = {}
+
+    def codes(self, column: pa.Array) -> np.ndarray:
+        encoded = column.dictionary_encode()
+        numbers = []
+        for name in encoded.dictionary.to_pylist():
+            if name not in self._number:
+                self._number[name] = len(self.known)
+                self.known.append(name)
+            numbers.append(self._number[name])
+        return np.array(numbers, dtype=np.int64)[encoded.indices.to_numpy(zero_copy_only=False)]
+
+
+def in_scope(store: DataFrame, block: QueryBlock) -> DataFrame:
+    """Only the document types any query of the block may see.
+
+    A literal predicate: it reaches the Parquet scan and prunes partitions.
+    """
+    scopes = sorted(set(block.scopes))
+    return store if "all" in scopes else store.filter(F.col("doc_type").isin(scopes))
 
 
 def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame:
-    """Candidates ``(query_id, chunk_id, vec_score, vec_rank)`` of one block.
+    """Candidates ``(query_id, chunk_id, vec_score, file, vec_rank)`` of one block.
 
-    ``store`` needs chunk_id, doc_type and embedding. ``signature_of`` (matrix
+    ``store`` needs chunk_id, doc_type and embedding, and may name the ``file``
+    of a row, which is handed through. ``signature_of`` (matrix
     -> integer codes per table) restricts scoring to pairs that share a code.
     """
-    scopes = sorted(set(block.scopes))
-    columns = ["chunk_id", "embedding"]
-    needed = store
-    if "all" not in scopes:
-        # Literal predicate: reaches the Parquet scan (and prunes partitions).
-        needed = needed.filter(F.col("doc_type").isin(scopes))
-    if len(scopes) > 1:
+    file = F.col("file") if "file" in store.columns else F.lit("")
+    columns = ["chunk_id", "embedding", file.alias("file")]
+    needed = in_scope(store, block)
+    if len(set(block.scopes)) > 1:
         columns.append("doc_type")
     shared = store.sparkSession.sparkContext.broadcast(
         (block.ids, block.vectors, block.scopes, block.fetch_k, block.signatures)
@@ -110,7 +138,7 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted, query_scopes, fetch_k, signatures = shared.value
-        best = _Best(fetch_k)
+        best, names = _Best(fetch_k), _Names()
         dim = wanted.shape[1]
         step = max(1, SCORE_CELLS // max(1, len(ids)))
         # Queries that must not see a chunk of the given type.
@@ -121,6 +149,7 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
         for batch in batches:
             chunks = np.array([c.encode() for c in batch.column("chunk_id").to_pylist()])
             vectors = unit_rows(_matrix(batch.column("embedding"), dim))
+            files = names.codes(batch.column("file"))
             kinds = None
             if "doc_type" in batch.schema.names:
                 kinds = np.array(batch.column("doc_type").to_pylist(), dtype=object)
@@ -137,15 +166,16 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
                     for t in range(codes.shape[1]):
                         meet |= codes[:, t, None] == signatures[None, :, t]
                     distance[~meet] = np.inf
-                best.add(distance, chunks[part])
+                best.add(distance, chunks[part], files[part])
         if len(best.query):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in best.query], pa.string()),
                     pa.array([c.decode() for c in best.chunk], pa.string()),
                     pa.array(best.distance, pa.float64()),
+                    pa.array([names.known[f] for f in best.file], pa.string()),
                 ],
-                names=["query_id", "chunk_id", "vec_score"],
+                names=["query_id", "chunk_id", "vec_score", "file"],
             )
 
     found = needed.select(*columns).mapInArrow(score, CANDIDATE_SCHEMA)

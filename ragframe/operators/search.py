@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from ragframe.functions.params import resolve_params
 from ragframe.functions.text import overlap_share, tokens
 from ragframe.functions.vectors import EmbedFn, embed
-from ragframe.operators.scoring import QueryBlock, nearest, unit_rows
+from ragframe.operators.scoring import QueryBlock, in_scope, nearest, unit_rows
 from ragframe.session import checkpointed, new_path
 from ragframe.settings import (
+    PRUNE_FILES,
     QUERY_BLOCK_BYTES,
     QUERY_BLOCK_HITS,
     QUERY_BLOCK_ROWS,
@@ -40,7 +41,8 @@ def search(
     """Ranked hits of every query: one row per (query_id, rank).
 
     ``queries``: query_id, question, optional qvec, mode, scope, k, k_header.
-    ``store``: chunk columns with ``embedding``. ``score`` is a distance in
+    ``store``: chunk columns with ``embedding``, and ``file`` where rows come from
+    files (as ``read_store`` gives them). ``score`` is a distance in
     every mode (smaller is better). ``mode``, ``scope`` and ``k`` given as
     arguments apply to queries that do not set their own.
     """
@@ -171,6 +173,11 @@ def _search_block(
     else:
         block.signatures = approx.codes(block.vectors)
         candidates = nearest(store, block, approx.codes)
+    # The short lists are kept: whatever uses the hits, the vectors are scanned once.
+    candidates = checkpointed(candidates)
+    found_in = _only_files(in_scope(store, block), candidates).select(
+        *[c for c in store.columns if c != "file" and (c != "embedding" or "mmr" in modes)]
+    )
     # Parameters come from the block itself; the texts only where words count.
     params = store.sparkSession.createDataFrame(block.params)
     candidates = candidates.join(F.broadcast(params), "query_id").filter(
@@ -181,13 +188,12 @@ def _search_block(
         if block.question_bytes <= QUERY_BLOCK_BYTES:
             asked = F.broadcast(asked)
         candidates = candidates.join(asked, "query_id")
-    payload = [c for c in store.columns if c != "embedding" or "mmr" in modes]
     if len(block.ids) * block.max_fetch <= QUERY_BLOCK_HITS and (
         "hybrid" not in modes or block.question_bytes * block.max_fetch <= QUERY_BLOCK_BYTES
     ):
         # Bounded by queries x depth: the store is filtered in place by chunk id.
         candidates = F.broadcast(candidates)
-    found = store.select(*payload).join(candidates, "chunk_id")
+    found = found_in.join(candidates.drop("file"), "chunk_id")
     if "hybrid" in modes:
         found = found.withColumn("score", _hybrid_score())
     else:
@@ -199,10 +205,23 @@ def _search_block(
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(
             F.col("rank") <= F.col("k")
         )
-    kept = [c for c in payload if c != "embedding"]
+    kept = [c for c in found_in.columns if c != "embedding"]
     return ranked.select("query_id", "rank", *kept, "score", "vec_score", "vec_rank")
 
 
+def _only_files(store: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The store reduced to the files that hold a candidate.
+
+    A handful of queries has candidates in a handful of files. ``file`` stands
+    for file metadata, so that Spark does not open the others. With very many
+    files the store is read as it is.
+    """
+    if "file" not in store.columns:
+        return store
+    files = [r.file for r in candidates.select("file").distinct().limit(PRUNE_FILES + 1).collect()]
+    return store.filter(F.col("file").isin(files)) if len(files) <= PRUNE_FILES else store
+
+
 def _hybrid_score():
     near = F.lit(1.0) / (F.lit(1.0) + F.col("vec_score"))
     shared = overlap_share(tokens(F.coalesce("question", F.lit(""))), tokens(F.col("text")))

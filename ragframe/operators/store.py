@@ -151,6 +151,11 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, f"{path}/commits", schema)
 
 
+def with_file(scan: DataFrame) -> DataFrame:
+    """Name the file of each row; a filter on it keeps other files closed."""
+    return scan.withColumn("file", F.col("_metadata.file_name"))
+
+
 def _range(spark: SparkSession, path: str) -> tuple[int, int]:
     """First and last batch that readers use; (0, -1) for no store."""
     row = commits(spark, path).agg(F.max("since"), F.max("batch")).first()
@@ -158,11 +163,11 @@ def _range(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the store that no later batch replaced."""
+    """Chunks of the store that no later batch replaced, with their ``file``."""
     since, last = _range(spark, path)
     if last < 0:
-        return spark.createDataFrame([], CHUNK_SCHEMA)
-    chunks = _table(spark, f"{path}/chunks", CHUNK_SCHEMA).filter(
+        return spark.createDataFrame([], CHUNK_SCHEMA).withColumn("file", F.lit(""))
+    chunks = with_file(_table(spark, f"{path}/chunks", CHUNK_SCHEMA)).filter(
         F.col("batch").between(since, last)
     )
     if not paths.exists(spark, f"{path}/replaced"):
@@ -261,7 +266,7 @@ def sample(store: DataFrame, limit: int = 10, after: str | None = None) -> DataF
     The last id of a page is the ``after`` of the next one.
     """
     wanted = store if after is None else store.filter(F.col("chunk_id") > after)
-    fields = [c for c in store.columns if c not in ("chunk_id", "embedding")]
+    fields = [c for c in store.columns if c not in ("chunk_id", "embedding", "file")]
     keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fields]))
     return (
         wanted.orderBy("chunk_id")

@@ -13,6 +13,7 @@ from ragframe.functions import ids
 from ragframe.functions.text import redact
 from ragframe.functions.vectors import embed
 from ragframe.operators.chunking import chunk_fixed
+from ragframe.operators.store import with_file
 from ragframe.session import new_path, spread
 
 
@@ -87,7 +88,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "chunks")
     made = embedded(spark, sf_dir)
     made.write.partitionBy("doc_type").parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    return with_file(spark.read.schema(made.schema).parquet(path))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
