@@ -56,20 +56,30 @@ def redact(col: Column, enabled: bool = True) -> Column:
     )
 
 
-def pii_hits(col: Column) -> dict[str, Column]:
-    """Hits per entity in one text, each counted after the earlier ones are gone."""
-    counts = {}
+def with_pii_hits(df: DataFrame, column: str) -> DataFrame:
+    """Add the number of hits per entity in each text, as a column per entity.
+
+    An entity is counted after the earlier ones are replaced. Each step is a
+    column of its own, so that no replacement is computed twice.
+    """
+    df = df.withColumn("_text", F.col(column))
     for entity, pattern, _ in PII_PATTERNS:
-        counts[entity] = F.regexp_count(col, F.lit(pattern))
-        col = F.regexp_replace(col, pattern, f"<{entity}>")
-    return counts
+        text = F.col("_text")
+        able = text.contains("@") if entity == "EMAIL_ADDRESS" else F.lit(True)
+        count = F.when(able, F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
+        df = df.withColumn(entity, count).withColumn(
+            "_text",
+            F.when(F.col(entity) > 0, F.regexp_replace(text, pattern, f"<{entity}>")).otherwise(text),
+        )
+    return df.drop("_text")
 
 
 def pii_counts(df: DataFrame, column: str) -> DataFrame:
     """Total hits per entity over a table: one row per entity."""
     names = [entity for entity, _, _ in PII_PATTERNS]
-    hits = pii_hits(F.col(column))
-    totals = df.agg(*[F.coalesce(F.sum(hits[n]), F.lit(0)).cast("bigint").alias(n) for n in names])
+    totals = with_pii_hits(df.select(column), column).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names]
+    )
     pairs = F.array(
         *[
             F.struct(

@@ -66,7 +66,8 @@ def embed(
             offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
             yield pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1)))
 
-    return df.withColumn(out, run(F.col(column)))
+    # Marked as not repeatable: the optimizer must not copy the call into filters.
+    return df.withColumn(out, run.asNondeterministic()(F.col(column)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -83,7 +83,7 @@ WHERE regexp_matches(text, '\\S')""",
 def pages_to_documents(spark, sf):
     host = F.split_part("url", F.lit("/"), F.lit(3))
     folder = F.when(F.col("page_id") % 4 == 0, "external/").otherwise("")
-    pages = fx.table(spark, sf, "pages").select(
+    pages = fx.spread(fx.table(spark, sf, "pages"), "page_id").select(
         F.concat(folder, host, F.lit(".pdf")).alias("rel_path"),
         (F.col("page_id") + 1).alias("page_no"),
         F.when(F.col("page_id") % 10 == 3, " \n").otherwise(F.col("html")).alias("text"),
