@@ -21,16 +21,19 @@ _PAGES_SCHEMA = "rel_path string, page_no int, text string"
 
 def list_tree(spark: SparkSession, base: str, with_content: bool = True) -> DataFrame:
     """All .md, .txt and .pdf files below ``base`` with their relative path."""
-    files = (
+    return _tree(spark, base).select(
+        relative_path(F.col("path"), base).alias("rel_path"),
+        *([F.col("content")] if with_content else []),
+    )
+
+
+def _tree(spark: SparkSession, base: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _TREE_GLOB)
         .load(base)
     )
-    return files.select(
-        relative_path(F.col("path"), base).alias("rel_path"),
-        *([F.col("content")] if with_content else []),
-    )
 
 
 def relative_path(path, base: str):
@@ -45,10 +48,27 @@ def read_tree(spark: SparkSession, base: str) -> DataFrame:
 
     Order rows by ``rel_path`` where order matters; the files come in any order.
     """
-    files = list_tree(spark, base)
+    files = list_tree(spark, base).select(
+        "rel_path", utf8_text(F.col("content")).alias("text")
+    )
+    empty = _empty_files(spark, base).withColumn("text", F.lit(""))
     name = F.lower("rel_path")
     wanted = name.endswith(TEXT_SUFFIXES[0]) | name.endswith(TEXT_SUFFIXES[1])
-    return files.filter(wanted).select("rel_path", utf8_text(F.col("content")).alias("text"))
+    return files.unionByName(empty).filter(wanted)
+
+
+def _empty_files(spark: SparkSession, base: str) -> DataFrame:
+    """Files without a byte, which a scan leaves out though they are listed.
+
+    The names come from the listing Spark has made for the scan; contents are
+    not read.
+    """
+    names = [(name,) for name in _tree(spark, base).inputFiles()]
+    listed = spark.createDataFrame(names, "value string")
+    # Listed names are percent-encoded, and a plus sign stands for itself.
+    plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    names = listed.select(relative_path(plain, base).alias("rel_path"))
+    return names.join(list_tree(spark, base, with_content=False), "rel_path", "left_anti")
 
 
 def utf8_text(content):

@@ -17,11 +17,16 @@ def make_tree(base):
     (base / "external" / "c.pdf").write_bytes(b"one|two|!|four")
 
 
-def page_texts(content):
-    for part in content.decode().split("|"):
-        if part == "!":
-            raise ValueError("broken page")
-        yield " " if part == "two" else part
+def page_reader():
+    """A reader as a closure, which is sent to the workers by value."""
+
+    def page_texts(content):
+        for part in content.decode().split("|"):
+            if part == "!":
+                raise ValueError("broken page")
+            yield " " if part == "two" else part
+
+    return page_texts
 
 
 def test_tree(spark, tmp_path):
@@ -38,7 +43,7 @@ def test_tree(spark, tmp_path):
 
 def test_documents_of_a_tree_with_a_broken_page(spark, tmp_path):
     make_tree(tmp_path)
-    docs = {r.source_id: r for r in load_documents(spark, str(tmp_path), page_texts).collect()}
+    docs = {r.source_id: r for r in load_documents(spark, str(tmp_path), page_reader()).collect()}
     assert set(docs) == {"a.md", "B.TXT", "empty.txt", "external/deep/x y.md", "external/c.pdf#p1"}
     assert docs["a.md"].text == "# Title\nmail <EMAIL_ADDRESS>"
     page = docs["external/c.pdf#p1"]
@@ -48,9 +53,9 @@ def test_documents_of_a_tree_with_a_broken_page(spark, tmp_path):
 def test_ingest_tree_twice(spark, tmp_path):
     make_tree(tmp_path)
     path = new_path(spark, "store")
-    first = ingest_tree(spark, str(tmp_path), path, page_texts=page_texts).first()
+    first = ingest_tree(spark, str(tmp_path), path, page_texts=page_reader()).first()
     assert (first.raw_docs, first.chunks, first.replaced_points) == (5, 4, 0)
-    again = ingest_tree(spark, str(tmp_path), path, page_texts=page_texts).first()
+    again = ingest_tree(spark, str(tmp_path), path, page_texts=page_reader()).first()
     assert (again.chunks, again.replaced_points) == (4, 4)
     assert st.read_store(spark, path).count() == 4
 
@@ -69,8 +74,8 @@ def test_report(spark, tmp_path):
     rows = spark.createDataFrame([("q", None)], "question string, score double")
     summary = spark.createDataFrame([(1, 0.5)], "total int, accuracy double")
     files.write_report(rows, summary, str(tmp_path / "r"))
-    part = next((tmp_path / "r" / "rows").glob("*.json"))
-    assert json.loads(part.read_text()) == {"question": "q", "score": None}
+    parts = [p.read_text() for p in (tmp_path / "r" / "rows").glob("*.json")]
+    assert json.loads("".join(parts)) == {"question": "q", "score": None}
 
 
 def test_stream_takes_the_newest_text_and_counts_batches_once(spark, tmp_path):
