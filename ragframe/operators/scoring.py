@@ -61,7 +61,9 @@ class _Best:
 
     def __init__(self, fetch_k: np.ndarray):
         self.fetch_k = fetch_k
+        # Distance and chunk id of the last place of each full list.
         self.limit = np.full(len(fetch_k), np.inf)
+        self.last = np.zeros(len(fetch_k), dtype="S1")
         self.query = np.empty(0, dtype=np.int64)
         self.distance = np.empty(0)
         self.chunk = np.empty(0, dtype="S1")
@@ -76,6 +78,9 @@ class _Best:
         else:
             bound = self.limit
         row, query = np.nonzero((distance <= bound) & np.isfinite(distance))
+        # Copies tie with the last place in great numbers: only smaller ids get in.
+        enters = (distance[row, query] < self.limit[query]) | (chunks[row] < self.last[query])
+        row, query = row[enters], query[enters]
         if not len(row):
             return
         query = np.concatenate([self.query, query])
@@ -89,6 +94,8 @@ class _Best:
         kept = rank < self.fetch_k[query]
         last = rank == self.fetch_k[query] - 1
         self.limit[query[last]] = dist[last]
+        self.last = self.last.astype(np.promote_types(self.last.dtype, chunk.dtype))
+        self.last[query[last]] = chunk[last]
         self.query, self.distance = query[kept], dist[kept]
         self.chunk, self.file = chunk[kept], file[kept]
 
@@ -138,6 +145,8 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted, query_scopes, fetch_k, signatures = shared.value
+        if not ids:
+            return
         best, names = _Best(fetch_k), _Names()
         dim = wanted.shape[1]
         step = max(1, SCORE_CELLS // max(1, len(ids)))

@@ -25,6 +25,7 @@ from ragframe.settings import (
 )
 
 _PARAMS = ("query_id", "mode", "k", "fetch_k", "alpha")
+_PARAMS_SCHEMA = "query_id string, mode string, k int, fetch_k int, alpha double"
 
 
 def search(
@@ -179,7 +180,7 @@ def _search_block(
         *[c for c in store.columns if c != "file" and (c != "embedding" or "mmr" in modes)]
     )
     # Parameters come from the block itself; the texts only where words count.
-    params = store.sparkSession.createDataFrame(block.params)
+    params = store.sparkSession.createDataFrame(block.params, _PARAMS_SCHEMA)
     candidates = candidates.join(F.broadcast(params), "query_id").filter(
         F.col("vec_rank") <= F.col("fetch_k")
     )

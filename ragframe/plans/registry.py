@@ -1450,8 +1450,21 @@ def ingest_stream_query(spark, sf):
     )
 
 
-@register("ingest_documents")
+@register(
+    "ingest_documents",
+    with_(
+        sql.FILES,
+        sql.DOCS,
+        select=r"""SELECT 'ok' AS status, count(*)::BIGINT AS raw_docs, true AS chunked,
+  count(DISTINCT CASE WHEN regexp_matches(text, '\S') THEN source_path END)::BIGINT AS replaced_sources,
+  0::BIGINT AS replaced_points FROM docs""",
+    ),
+)
 def ingest_documents(spark, sf):
-    """The whole ingest path with the real splitters; returns its statistics."""
+    """The whole ingest path with the real splitters; its statistics."""
     path = new_path(spark, "store")
-    return ingest.ingest_documents(spark, fx.documents(spark, sf), path)
+    stats = ingest.ingest_documents(spark, fx.documents(spark, sf), path)
+    chunked = F.col("chunks") >= F.col("replaced_sources")
+    return stats.select(
+        "status", "raw_docs", chunked.alias("chunked"), "replaced_sources", "replaced_points"
+    )

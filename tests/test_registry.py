@@ -22,7 +22,7 @@ def db(sf_dir):
 
 def test_every_query_has_a_name_and_most_an_oracle():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"search_lsh", "ingest_documents"}
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"search_lsh"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))

@@ -7,7 +7,7 @@ from ragframe.functions.vectors import cosine_distance, embed
 from ragframe.operators import search as search_module
 from ragframe.operators import store as chunk_store
 from ragframe.functions.params import resolve_params
-from ragframe.operators.scoring import nearest
+from ragframe.operators.scoring import _Best, nearest
 from ragframe.operators.search import (
     hybrid_topk,
     mmr_scores,
@@ -181,6 +181,29 @@ def test_lsh_is_a_subset_with_recall(store, queries):
     assert sum(all_codes[q] == exact[q] for q in exact) >= 29
 
 
+@pytest.mark.parametrize("mode", ["similarity", "hybrid", "mmr"])
+def test_no_queries_and_no_chunks(store, queries, mode):
+    assert search(store, queries.limit(0), mode=mode).count() == 0
+    assert search(store.limit(0), queries, mode=mode).count() == 0
+
+
+def test_lists_with_very_many_ties():
+    """Copies arrive in any order and in many slices; the smallest ids stay."""
+    rng = np.random.default_rng(3)
+    best = _Best(np.array([5, 2, 400]))
+    ids = np.array([f"{i:0{4 + i % 3}d}".encode() for i in range(1500)])
+    distance = np.round(rng.random((1500, 3)) + 0.5, 2)
+    distance[rng.random(1500) < 0.4] = 0.25
+    distance[::7, 1] = np.inf
+    for part in np.array_split(rng.permutation(1500), 40):
+        best.add(distance[part], ids[part], np.zeros(len(part), dtype=np.int64))
+    for query, depth in enumerate((5, 2, 400)):
+        seen = [(d, i) for d, i in zip(distance[:, query], ids, strict=True) if np.isfinite(d)]
+        mine = best.query == query
+        got = list(zip(best.distance[mine], best.chunk[mine], strict=True))
+        assert got == sorted(seen)[:depth]
+
+
 def test_plans(spark, store, queries, tmp_path):
     path = str(tmp_path / "store")
     chunks = store.withColumn("source_path", F.col("source_id")).withColumn("chunk_index", F.lit(0))
