@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.settings import SCORE_CELLS, SCORE_DECIMALS
+from ragframe.settings import SCORE_CELLS, SCORE_DECIMALS, SCORE_TASKS
 
 CANDIDATE_SCHEMA = "query_id string, chunk_id string, vec_score double, file string"
 
@@ -187,7 +187,7 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
                 names=["query_id", "chunk_id", "vec_score", "file"],
             )
 
-    found = needed.select(*columns).mapInArrow(score, CANDIDATE_SCHEMA)
+    found = needed.select(*columns).coalesce(SCORE_TASKS).mapInArrow(score, CANDIDATE_SCHEMA)
     order = Window.partitionBy("query_id").orderBy("vec_score", "chunk_id")
     ranked = found.withColumn("vec_rank", F.row_number().over(order))
     # The literal bound lets Spark cut the lists before the shuffle.

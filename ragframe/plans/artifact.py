@@ -64,7 +64,7 @@ def artifact_prompts(
         "context": F.col("context"),
         "request": redact(F.col("request")),
         "decision": redact(F.col("request")),
-        "alternatives": F.to_json(F.transform("alternatives", redact)),
+        "alternatives": F.to_json(F.transform("alternatives", lambda a: redact(a))),
     }
     prompt = F.lit(None).cast("string")
     for tool, template in templates.items():

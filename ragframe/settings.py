@@ -144,7 +144,10 @@ QUERY_BLOCK_ROWS = 8192
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK_HITS = 200_000
 # Most files a second look at the store names one by one.
-PRUNE_FILES = 2000
+PRUNE_FILES = 20_000
+# Tasks of one scan for candidates; each returns short lists, so more of them
+# than the largest clusters run at once would only lengthen the shuffle.
+SCORE_TASKS = 32_768
 # Cells of one score matrix inside a task (8 bytes each).
 SCORE_CELLS = 2_000_000
 # Largest side, in rows, that an upsert or a rule join may broadcast.
