@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,7 +30,10 @@ def ingest_stream(
     Each batch is committed under its number and the stream's checkpoint, so
     that a batch which is run again after a failure counts once.
     """
-    checkpoint = checkpoint or f"{shared_dir(spark).rstrip('/')}/ingest-stream"
+    if checkpoint is None:
+        # One stream per pair of folders goes on where it stopped.
+        name = hashlib.md5(f"{source}\n{store_path}".encode()).hexdigest()
+        checkpoint = f"{shared_dir(spark).rstrip('/')}/ingest-stream-{name}"
     stream = spark.readStream.schema(FILES_SCHEMA).option("maxFilesPerTrigger", max_files)
     files = stream.parquet(source).select("*", "_metadata.file_modification_time")
 
