@@ -4,11 +4,13 @@ A document's sketch is ``collections`` small hash collections of ``rows`` minhas
 collections, so 16 collections of 3 give 120 tables of 6 minhashes from 48 minhashes instead of 720. Two sets with
 similarity 0.8 share no key with probability 2e-4, with 0.85 4e-6.
 
-Equal sets are one class. A class meets others through table keys that at least two classes share. Within a bucket the
-smallest class is compared with all others first, and links between sets are confirmed on the full sets. Buckets whose
-classes then still lie in different components go through further rounds: every round takes four times as many
-members as leaders, compares them with the members of other components only, and ends when all members have led. So no
-bucket is capped, no pair of one component is written out, and no link that a bucket can show is lost.
+Equal sets are one class. A class meets others through table keys that at least two classes share, and links are
+confirmed on the full sets. Every member of a bucket is compared with its smallest class first; a group of like sets
+then is one component, with as many comparisons as members. Members of buckets that still hold several components are
+compared further, but only where the sets can be similar enough: with shingles ordered from rare to common, the first
+ninth of the smaller set must share one with the first fifth of the larger set. Thus many sets with one common passage
+do not meet, no bucket is capped and no pair within a component is written out. A share of the members leads each
+round, so that groups grow together before the rest is compared.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.llm.common import (
@@ -42,6 +44,9 @@ _MIX = _RANDOM.integers(1, 1 << 63, ROWS + 2, np.uint64) * np.uint64(2) + np.uin
 # Shingles that are hashed at once.
 SLICE = 4096
 
+# Of LEADERS[-1] parts of the classes, so many lead in each further round.
+LEADERS = (1, 8, 64)
+
 
 def shingles(raw: bytes, hashes: WordRows, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle, none an empty set."""
@@ -141,52 +146,73 @@ def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, perc
     pair = f"""transform(sequence(0, {COLLECTIONS - 2}), i -> transform(sequence(i + 1, {COLLECTIONS - 1}),
         j -> xxhash64(i, j, sub[i], sub[j])))"""
     keys = classes.select("cls", F.explode(F.flatten(F.expr(pair))).alias("table_key"))
-    shared = keys.groupBy("table_key").agg(F.min("cls").alias("leader"), F.max("cls").alias("most"), F.count("*").alias("n"))
-    shared = saved(shared.where("leader < most").select("table_key", "leader", "n"), "near-buckets")
+    shared = keys.groupBy("table_key").agg(F.min("cls").alias("leader"), F.max("cls").alias("most"))
+    shared = saved(shared.where("leader < most").select("table_key", "leader"), "near-buckets")
     members = saved(keys.join(shared, "table_key"), "near-members")
 
     sets = saved(_sets(docs, members.select("cls").distinct(), words), "near-sets")
     pairs = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     tested = saved(pairs, "near-pairs")
     stars = components(_linked(tested, sets, percent))
-    members = members.select("table_key", "cls", "n")
-    led = F.lit(0.0)
-    share = 4.0
-    while True:
-        members = _open_buckets(members, stars)
-        if members.isEmpty():
-            return stars
-        # a member leads its bucket once its hash is below share / n; the smallest has led already
-        spot = F.pmod(F.xxhash64("table_key", "cls"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-        leads = members.withColumn("spot", spot)
-        left = leads.where(F.col("spot") < share).alias("l")
-        apart = [
-            F.col("l.table_key") == F.col("r.table_key"),
-            F.col("l.root") != F.col("r.root"),
-            # pairs with a member that led in an earlier round are known
-            (F.col("l.spot") >= led) & (F.col("r.spot") >= led),
-        ]
-        pairs = left.join(leads.alias("r"), apart).select(
-            F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")
-        )
-        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        most = members.agg(F.max("n")).first()[0]
+    tokens = None
+    led = 0
+    for share in LEADERS:
+        unsettled = _open_classes(members, stars)
+        if unsettled.isEmpty():
+            break
+        if tokens is None:
+            tokens = saved(_prefixes(unsettled, sets, percent), "near-prefixes")
+        pairs = _meeting(tokens, unsettled, led, share)
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         links = _linked(pairs, sets, percent)
         if not links.isEmpty():
             stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("cls").alias("b"))))
-        if share >= most:
-            return stars
         tested = tested.unionByName(pairs)
-        led, share = F.lit(share), share * 4
+        led = share
+    return stars
 
 
-def _open_buckets(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with their roots."""
-    rooted = members.select("table_key", "cls", "n").join(stars, "cls", "left")
+def _open_classes(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """(cls, root) of the classes in buckets that hold several components."""
+    rooted = members.select("table_key", "cls").join(stars, "cls", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "cls"))
     open_keys = rooted.groupBy("table_key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_keys = open_keys.where("low <> high").select("table_key")
-    return saved(rooted.join(open_keys, "table_key", "left_semi"), "near-open")
+    rooted = rooted.join(open_keys, "table_key", "left_semi").select("cls", "root").distinct()
+    return saved(rooted, "near-open")
+
+
+def _prefixes(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, shingle, short): the shingles of each set by which it can meet similar ones.
+
+    Rare shingles come first. Of a set with n shingles, the first n - ceil(n * p) + 1 meet smaller sets; those with
+    ``short`` are the first n - ceil(2 * n * p / (1 + p)) + 1, which suffice towards sets that are not smaller.
+    """
+    tokens = unsettled.select("cls").join(sets, F.col("cls") == sets["doc_id"])
+    tokens = tokens.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    spread = tokens.groupBy("shingle").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("cls", "n").orderBy("sets", "shingle")
+    ranked = tokens.join(spread, "shingle").withColumn("place", F.row_number().over(order))
+    least = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    short = F.expr(f"n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
+    ranked = ranked.where((F.col("place") <= least) & (F.col("sets") > 1))
+    return ranked.select("cls", "n", "shingle", (F.col("place") <= short).alias("short"))
+
+
+def _meeting(tokens: DataFrame, unsettled: DataFrame, led: int, share: int) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes, one of them a leader of this round."""
+    known = tokens.join(unsettled, "cls").withColumn("spot", F.pmod(F.xxhash64("cls"), F.lit(LEADERS[-1])))
+    small, large = known.where("short").alias("s"), known.alias("l")
+    meet = [
+        F.col("s.shingle") == F.col("l.shingle"),
+        F.col("s.root") != F.col("l.root"),
+        (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.cls") < F.col("l.cls"))),
+        (F.col("s.spot") < share) | (F.col("l.spot") < share),
+        # pairs with an earlier leader are known
+        (F.col("s.spot") >= led) & (F.col("l.spot") >= led),
+    ]
+    pairs = small.join(large, meet)
+    return pairs.select(F.least("s.cls", "l.cls").alias("a"), F.greatest("s.cls", "l.cls").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -198,12 +224,13 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             wanted = may_hold(bits, batch.column(1).to_numpy())
             batch = batch.filter(pa.array(wanted))
-            found = [shingles(raw, hashes, words).tobytes() for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+            found = [shingles(raw, hashes, words).view(np.int64) for raw in batch.column(2).to_pylist()]
+            found = pa.array(found, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "shingles"])
 
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), raw_text().alias("raw"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return text_batches(rows, run, f"doc_id {id_type}, shingles binary")
+    return text_batches(rows, run, f"doc_id {id_type}, shingles array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,8 +239,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True):
                 small, large = sorted((x.size, y.size))
                 if 100 * small < percent * large:
                     keep.append(False)
@@ -230,6 +256,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(text_batches(both, run, f"a {id_type}, b {id_type}"), "near-links")
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[: offsets[-1]], offsets[1:-1]) if len(column) else []
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, root): each node's smallest reachable node, for nodes that are not themselves the smallest.
 
