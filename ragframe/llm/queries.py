@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import bpe, exact_dedup, minhash, mixing, quality
+from ragframe.llm import bpe, exact_dedup, minhash, mixing, quality, rules, warc
 from ragframe.llm.common import held_out, table
 
 CUT = 0.7
@@ -28,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = held_out(F.col("doc_id"), 4, 2)
@@ -49,8 +53,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_exact_dedup, op5_quality, op7_bpe, op9_minhash)
+    f.__name__: f
+    for f in (op2_mixing, op3_exact_dedup, op4_warc, op5_quality, op7_bpe, op9_minhash, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
