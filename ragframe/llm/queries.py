@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import bpe, exact_dedup, minhash, mixing, quality, rules, warc
+from ragframe.llm import bpe, chat, exact_dedup, langid, minhash, mixing, quality, rules, toxicity, warc
 from ragframe.llm.common import held_out, table
 
 CUT = 0.7
@@ -20,6 +20,20 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 3, 1)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, "toxic", held))
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id",
+        held.alias("held_out"),
+        score.alias("score"),
+        (score >= CUT).cast("int").alias("predicted"),
+        F.col("toxicity.spans").alias("spans"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,6 +55,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat.format_conversations(turns.unionByName(probe))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, vocabulary_path())
@@ -48,6 +69,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", decoded.alias("decoded_sha256"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs, held))
+    return found.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.shares")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.near_groups(table(spark, sf_dir, "documents"), words=2)
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -59,7 +87,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mixing, op3_exact_dedup, op4_warc, op5_quality, op7_bpe, op9_minhash, op10_quality_rules)
+    for f in (
+        op1_toxicity,
+        op2_mixing,
+        op3_exact_dedup,
+        op4_warc,
+        op5_quality,
+        op6_chat,
+        op7_bpe,
+        op8_langid,
+        op9_minhash,
+        op10_quality_rules,
+    )
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
