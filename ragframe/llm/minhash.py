@@ -152,8 +152,9 @@ def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, perc
 
     sets = saved(_sets(docs, members.select("cls").distinct(), words), "near-sets")
     pairs = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    tested = saved(pairs, "near-pairs")
-    stars = components(_linked(tested, sets, percent))
+    measured = _measured(saved(pairs, "near-pairs"), sets, percent)
+    tested = measured.select("a", "b").distinct()
+    stars = components(measured.where("linked"))
     tokens = None
     led = 0
     for share in LEADERS:
@@ -161,10 +162,11 @@ def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, perc
         if unsettled.isEmpty():
             break
         if tokens is None:
-            tokens = saved(_prefixes(unsettled, sets, percent), "near-prefixes")
-        pairs = _meeting(tokens, unsettled, led, share)
+            tokens = _prefixes(unsettled, sets, percent).join(_pivots(measured), "cls", "left")
+            tokens = saved(tokens, "near-prefixes")
+        pairs = _meeting(tokens, unsettled, led, share, percent)
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        links = _linked(pairs, sets, percent)
+        links = _measured(pairs, sets, percent).where("linked").select("a", "b")
         if not links.isEmpty():
             stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("cls").alias("b"))))
         tested = tested.unionByName(pairs)
@@ -199,14 +201,31 @@ def _prefixes(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("cls", "n", "shingle", (F.col("place") <= short).alias("short"))
 
 
-def _meeting(tokens: DataFrame, unsettled: DataFrame, led: int, share: int) -> DataFrame:
-    """Pairs of different components that share a shingle of their prefixes, one of them a leader of this round."""
+def _pivots(measured: DataFrame) -> DataFrame:
+    """(cls, pivot, far): the smallest class that each class was compared with, and its distance from it."""
+    one = measured.groupBy("b", "a").agg(F.min("distance").alias("far"), F.max("distance").alias("most"))
+    # ids with several sets have no distance
+    one = one.where("far = most").groupBy(F.col("b").alias("cls")).agg(F.min(F.struct("a", "far")).alias("p"))
+    return one.select("cls", F.col("p.a").alias("pivot"), "p.far")
+
+
+def _meeting(tokens: DataFrame, unsettled: DataFrame, led: int, share: int, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes, one of them a leader of this round.
+
+    Pairs whose sizes differ too much are left out, and those whose distances from one pivot do: the Jaccard distance
+    of two sets is at least the difference of their distances from a third.
+    """
+    limit = 1 - percent / 100 + 1e-9
     known = tokens.join(unsettled, "cls").withColumn("spot", F.pmod(F.xxhash64("cls"), F.lit(LEADERS[-1])))
     small, large = known.where("short").alias("s"), known.alias("l")
     meet = [
         F.col("s.shingle") == F.col("l.shingle"),
         F.col("s.root") != F.col("l.root"),
         (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.cls") < F.col("l.cls"))),
+        F.col("s.n") * 100 >= F.col("l.n") * percent,
+        F.coalesce(
+            (F.col("s.pivot") != F.col("l.pivot")) | (F.abs(F.col("s.far") - F.col("l.far")) <= limit), F.lit(True)
+        ),
         (F.col("s.spot") < share) | (F.col("l.spot") < share),
         # pairs with an earlier leader are known
         (F.col("s.spot") >= led) & (F.col("l.spot") >= led),
@@ -233,27 +252,26 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return text_batches(rows, run, f"doc_id {id_type}, shingles array<bigint>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance, linked) of pairs by their full sets; several rows where an id has several sets."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            keep = []
+            distances, linked = [], []
             for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True):
-                small, large = sorted((x.size, y.size))
-                if 100 * small < percent * large:
-                    keep.append(False)
-                    continue
                 common = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * common >= percent * (small + large - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = x.size + y.size - common
+                distances.append(1 - common / union)
+                linked.append(100 * common >= percent * union)
+            columns = [pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "distance", "linked"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    # several sets under one id give several rows
-    return saved(text_batches(both, run, f"a {id_type}, b {id_type}"), "near-links")
+    schema = f"a {id_type}, b {id_type}, distance double, linked boolean"
+    return saved(text_batches(both, run, schema), "near-measured")
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
