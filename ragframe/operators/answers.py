@@ -40,7 +40,8 @@ def citation_audit(answers: DataFrame, allowed: str = "source_ids") -> DataFrame
 
 
 def normalized(answer: Column, source_ids: Column) -> tuple[Column, Column]:
-    """Final answer and error code of a draft answer."""
+    """Final answer and error code of a draft answer; no source list accepts no citation."""
+    source_ids = F.coalesce(source_ids, F.array().cast("array<string>"))
     unknown = is_unknown(answer)
     cited = F.coalesce(has_valid_citation(answer, source_ids), F.lit(False))
     text = F.when(unknown | ~cited, UNKNOWN_ANSWER).otherwise(answer)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragframe.functions import ids
-from ragframe.functions.text import is_blank, strip
+from ragframe.functions.text import strip
 from ragframe.settings import (
     PAGED_OVERLAP,
     PAGED_SEPARATORS,
@@ -164,15 +164,21 @@ def document_chunks(text: str, rule, by_header: bool) -> Iterator[tuple]:
 def header_sections(text: str) -> Iterator[tuple[Span, tuple]]:
     """Spans between header lines with the headers in force.
 
-    A higher header ends the lower ones. Lines within code fences are no headers.
+    A higher header ends the lower ones. Lines within code fences are no headers;
+    a fence ends with the mark that opened it.
     """
     headers: list[str | None] = [None, None, None]
     begin = at = 0
-    fenced = False
+    fence: str | None = None
     for line in text.split("\n"):
-        if _FENCE.match(line):
-            fenced = not fenced
-        found = None if fenced else _HEADER.match(line)
+        mark = _FENCE.match(line)
+        if fence is None:
+            # a line that closes its own mark opens nothing
+            if mark and line.count(mark.group(1)) == 1:
+                fence = mark.group(1)
+        elif mark and mark.group(1) == fence:
+            fence = None
+        found = None if fence else _HEADER.match(line)
         if found:
             if at > begin:
                 yield (begin, at), tuple(headers)
@@ -249,6 +255,3 @@ def _windows(lo: int, hi: int, size: int, overlap: int) -> Iterator[Span]:
             return
         start = end - overlap
 
-
-def drop_blank(df: DataFrame) -> DataFrame:
-    return df.filter(~is_blank(F.col("text")))

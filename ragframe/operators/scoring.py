@@ -47,8 +47,11 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1, norms)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int, names: pa.Array) -> np.ndarray:
     """List column as a dense float64 matrix; a missing vector becomes zeros."""
+    sizes = column.value_lengths().fill_null(dim).to_numpy(zero_copy_only=False)
+    for odd in np.flatnonzero(sizes != dim)[:1]:
+        raise ValueError(f"chunk {names[odd]} has a vector of {sizes[odd]} numbers, the queries {dim}")
     if column.null_count:
         rows = [v if v is not None else [0.0] * dim for v in column.to_pylist()]
         return np.array(rows, dtype=np.float64).reshape(-1, dim)
@@ -157,7 +160,7 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
         }
         for batch in batches:
             chunks = np.array([c.encode() for c in batch.column("chunk_id").to_pylist()])
-            vectors = unit_rows(_matrix(batch.column("embedding"), dim))
+            vectors = unit_rows(_matrix(batch.column("embedding"), dim, batch.column("chunk_id")))
             files = names.codes(batch.column("file"))
             kinds = None
             if "doc_type" in batch.schema.names:

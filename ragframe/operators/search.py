@@ -53,12 +53,17 @@ def search(
     resolved = resolve_params(queries, base)
     if "qvec" not in resolved.columns:
         resolved = embed(resolved, "question", "qvec", embed_fn)
-    resolved = resolved.withColumn("query_id", F.col("query_id").cast("string"))
-    blocks = query_blocks(resolved)
+    # Queries get a key of their own: their ids may be null or occur twice.
+    resolved = resolved.withColumns(
+        {"_asked": F.col("query_id").cast("string"), "query_id": F.monotonically_increasing_id().cast("string")}
+    )
+    resolved = checkpointed(resolved)
+    names = resolved.select("query_id", "_asked")
+    blocks = query_blocks(resolved.drop("_asked"))
     rows, block = next(blocks)
     hits = _search_block(store, rows, block, base, approx)
     if block.only:
-        return hits
+        return _renamed(hits, names)
     # Many queries: one block after the other is searched and its hits written,
     # so that neither the driver nor a plan ever holds more than one block.
     target = new_path(store.sparkSession, "hits")
@@ -66,10 +71,16 @@ def search(
         hits.write.mode("append").parquet(target)
         following = next(blocks, None)
         if following is None:
-            return store.sparkSession.read.parquet(target)
+            return _renamed(store.sparkSession.read.parquet(target), names)
         hits = _search_block(store, *following, base, approx)
 
 
+def _renamed(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """Hits under the ids that their queries came with."""
+    asked = hits.join(names, "query_id").withColumn("query_id", F.col("_asked"))
+    return asked.select(hits.columns)
+
+
 def similarity_topk(store: DataFrame, queries: DataFrame, **options) -> DataFrame:
     return search(store, queries, **{**options, "mode": "similarity"})
 
@@ -97,33 +108,27 @@ def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock]]:
     """Split the queries into blocks that are safe to broadcast.
 
     The bound is checked, not assumed: one block is tried with a row limit and
-    used if all queries fit. Otherwise the queries are written out once, cut by
-    a hash of their id, and the sizes of the cuts are counted before any of
-    them is fetched. Scoring a block costs more than re-reading the vectors for
-    it, so one scan of the store per block is the right price for many queries.
+    used if all queries fit. Otherwise the queries are written out once,
+    numbered by the magnitude of their depth, and cut by number. Scoring a block
+    costs more than re-reading the vectors for it, so one scan of the store per
+    block is the right price for many queries.
     """
     first = _fetch(resolved.limit(QUERY_BLOCK_ROWS + 1))
     limit = _rows_for_vectors(first)
     if len(first) <= min(limit, _rows_for_hits(first["fetch_k"].max() if len(first) else 1)):
         yield resolved, _to_block(first, only=True)
         return
-    saved = checkpointed(resolved)
-    total, deepest = saved.agg(F.count(F.lit(1)), F.max("fetch_k")).first()
-    limit = min(limit, _rows_for_hits(deepest))
-    cuts = max(2, -(-total * 5 // (limit * 4)))
-    while True:
-        cut = F.pmod(F.xxhash64("query_id"), F.lit(cuts))
-        largest = saved.groupBy(cut.alias("cut")).count().agg(F.max("count")).first()[0]
-        if largest <= limit:
-            break
-        if cuts > 64 * total:
-            raise ValueError("query_id must be unique")
-        cuts *= 2
-    for i in range(cuts):
-        rows = saved.filter(cut == i)
-        block = _to_block(_fetch(rows))
-        if block.ids:
-            yield rows, block
+    by_key = Window.partitionBy("_depth").orderBy("query_id")
+    depth = F.ceil(F.log2(F.greatest(F.col("fetch_k"), F.lit(1)))).cast("int")
+    numbered = resolved.withColumn("_depth", depth).withColumn("_number", F.row_number().over(by_key))
+    saved = checkpointed(numbered)
+    # Queries of like depth share blocks, so one deep query costs no other a scan.
+    for depth_class, total in sorted(map(tuple, saved.groupBy("_depth").count().collect())):
+        size = min(limit, _rows_for_hits(2**depth_class))
+        for start in range(0, total, size):
+            place = F.col("_number").between(start + 1, start + size)
+            rows = saved.filter((F.col("_depth") == depth_class) & place).drop("_depth", "_number")
+            yield rows, _to_block(_fetch(rows))
 
 
 def _fetch(rows: DataFrame) -> pd.DataFrame:

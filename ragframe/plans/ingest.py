@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragframe.functions.ids import with_chunk_id, with_source_path
+from ragframe.functions.ids import with_chunk_id, with_chunk_index, with_source_path
 from ragframe.functions.vectors import EmbedFn, embed
 from ragframe.operators.chunking import split_documents
 from ragframe.operators.store import upsert_store
+from ragframe.session import checkpointed
 from ragframe.sources.files import (
     pages_to_documents,
     read_paged,
@@ -19,9 +21,19 @@ from ragframe.sources.files import (
 def chunk_documents(documents: DataFrame) -> DataFrame:
     """Split redacted documents and give every chunk its number and id.
 
-    One pass without a shuffle: a document holds all chunks of its source id.
+    One pass without a shuffle where a document holds all chunks of its source
+    id. The chunks of sources with several documents are numbered through.
     """
-    return with_chunk_id(split_documents(with_source_path(documents)))
+    named = with_source_path(documents)
+    repeated = named.groupBy("source_id").count().filter("count > 1").select("source_id")
+    if repeated.isEmpty():
+        return with_chunk_id(split_documents(named))
+    # the order of documents must be the same for every later use
+    named = checkpointed(named.withColumn("doc_order", F.monotonically_increasing_id()))
+    single = split_documents(named.join(repeated, "source_id", "left_anti"))
+    shared = split_documents(named.join(repeated, "source_id", "left_semi"))
+    shared = with_chunk_index(shared, order="doc_order", pos="chunk_index")
+    return with_chunk_id(single.unionByName(shared).drop("doc_order"))
 
 
 def embedded_chunks(documents: DataFrame, embed_fn: EmbedFn | None = None) -> DataFrame:

@@ -56,15 +56,6 @@ def share(part: str, whole: str) -> str:
     return f"(len(list_intersect({part}, {whole})) / greatest(1, len({part})))"
 
 
-def uuid5(name: str) -> str:
-    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
-    return (
-        f"(SELECT substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || "
-        f"lower(printf('%02x', (('0x' || substr(h,17,2))::INT & 63) | 128)) || substr(h,19,2) || '-' || "
-        f"substr(h,21,12) FROM (SELECT {h} AS h))"
-    )
-
-
 def text_id(sid: str, index: str) -> str:
     """Id expression without a subquery: the digest is computed by its own CTE."""
     return f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({sid} || '::' || {index}))"
@@ -485,12 +476,3 @@ gate AS (
       AND best_score <= threshold, false) AS grounded
   FROM params p LEFT JOIN seen USING (query_id))
 """
-
-
-ITEM_ANSWERS = f"""
-drafts AS (
-  SELECT query_id, question || {cycle("item_id", [
-      "' [src' || (item_id % 20) || '/1.md]'", "' [' || (item_id * 7) || '.txt]'", "' [1]'",
-      "''", "' [external]'"])} AS answer, question, item_id
-  FROM items)
-"""

@@ -1381,8 +1381,6 @@ outputs AS (
   FROM items)
 """
 
-TOOL_ITEMS = sql.ITEMS
-
 
 @register(
     "artifact_batch",

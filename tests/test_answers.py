@@ -222,3 +222,9 @@ def test_assertions_and_lexical_shares(spark):
     )
     first, second = (tuple(r)[1:] for r in evaluation.lexical_quality(rows).collect())
     assert first == (0.5, 0.5, 0.5, 0.5) and second == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_no_source_list_accepts_no_citation(spark):
+    row = [("q", "Answer [x.md]", None)]
+    df = spark.createDataFrame(row, "query_id string, answer string, source_ids array<string>")
+    assert answers.normalize(df).first().error == "citation_validation_failed"

@@ -115,3 +115,20 @@ def test_document_names(spark):
         "other",
         "other",
     ]
+
+
+def test_fences_end_with_their_own_mark():
+    text = "```\n~~~\n# code\n```\n# real\n``` x ```\n## more\n~~~\n# no\n```\n~~~\n### last"
+    found = [headers for _, headers in chunking.header_sections(text)]
+    assert found[-1] == ("real", "more", "last")
+    assert all(h[0] in (None, "real") for h in found)
+
+
+def test_documents_of_one_source_are_numbered_through(spark):
+    from ragframe.plans.ingest import chunk_documents
+
+    rows = [("a.md", "# t\none"), ("a.md", "# t\ntwo"), ("b.txt", "three")]
+    docs = spark.createDataFrame(rows, "source_id string, text string").withColumn("doc_type", F.lit("project"))
+    found = chunk_documents(docs).collect()
+    assert len({r.chunk_id for r in found}) == 3
+    assert sorted((r.source_id, r.chunk_index) for r in found) == [("a.md", 0), ("a.md", 1), ("b.txt", 0)]

@@ -231,3 +231,31 @@ def test_report_and_default_embedding(spark):
     assert [(r.query_id, r.source_id, r.h1, r.rank) for r in rows] == [("1", "a.md", "H", 1)]
     norms = embed(df).select(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)).collect()
     assert all(abs(r[0] - 1) < 1e-6 for r in norms)
+
+
+def test_ids_need_not_be_unique_or_set(spark, store, corpus, asked):
+    schema = "query_id string, question string, scope string, qvec array<float>"
+    rows = [("1", *asked[0][1:]), ("1", *asked[4][1:]), (None, *asked[8][1:])]
+    hits = similarity_topk(store, spark.createDataFrame(rows, schema), k=3).collect()
+    alone = [
+        r.chunk_id
+        for q in (asked[0], asked[4], asked[8])
+        for r in similarity_topk(store, spark.createDataFrame([q], schema), k=3).collect()
+    ]
+    assert sorted(r.chunk_id for r in hits) == sorted(alone)
+    assert sorted((r.query_id or "") for r in hits) == [""] * 3 + ["1"] * 6
+
+
+def test_one_deep_query_among_many(spark, store, corpus, asked, monkeypatch):
+    monkeypatch.setattr(search_module, "QUERY_BLOCK_ROWS", 64)
+    schema = "query_id string, question string, scope string, qvec array<float>, k int"
+    rows = [(f"q{i}", *asked[i % 30][1:], 200_000 if i == 7 else 2) for i in range(300)]
+    hits = similarity_topk(store, spark.createDataFrame(rows, schema))
+    counts = {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()}
+    assert len(counts) == 300 and counts["q6"] == 2 and counts["q7"] > 90
+
+
+def test_vectors_of_another_length_are_named(spark, store, queries):
+    odd = spark.createDataFrame([("x", "project/1.md", "project", "t", [1.0, 2.0])], store.schema)
+    with pytest.raises(Exception, match="chunk x has a vector of 2 numbers"):
+        similarity_topk(odd, queries).collect()
