@@ -1154,9 +1154,9 @@ def citation_audit(spark, sf):
     "normalize_answer",
     with_(
         sql.ANSWERS,
-        select=f"""SELECT query_id, CASE WHEN {sql.is_unknown("answer")} OR NOT {sql.valid("answer", "source_ids")}
+        select=f"""SELECT query_id, CASE WHEN {sql.is_unknown("answer")} OR NOT {sql.valid("answer", "coalesce(source_ids, [])")}
   THEN {q(sql.UNKNOWN_ANSWER)} ELSE answer END AS final_answer,
-  CASE WHEN NOT {sql.is_unknown("answer")} AND NOT {sql.valid("answer", "source_ids")} THEN 'citation_validation_failed' END AS error
+  CASE WHEN NOT {sql.is_unknown("answer")} AND NOT {sql.valid("answer", "coalesce(source_ids, [])")} THEN 'citation_validation_failed' END AS error
 FROM answers""",
     ),
 )
