@@ -21,7 +21,7 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 
 # Rows of a source and block that one window sorts, on average over the blocks of the whole table.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 HASH_DIGITS = 15
 
