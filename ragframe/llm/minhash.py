@@ -7,10 +7,9 @@ similarity 0.8 share no key with probability 2e-4, with 0.85 4e-6.
 Equal sets are one class. A class meets others through table keys that at least two classes share, and links are
 confirmed on the full sets. Every member of a bucket is compared with its smallest class first; a group of like sets
 then is one component, with as many comparisons as members. Members of buckets that still hold several components are
-compared further, but only where the sets can be similar enough: with shingles ordered from rare to common, the first
-ninth of the smaller set must share one with the first fifth of the larger set. Thus many sets with one common passage
-do not meet, no bucket is capped and no pair within a component is written out. A share of the members leads each
-round, so that groups grow together before the rest is compared.
+compared further, but only where the sets can be similar enough: with shingles ordered from rare to common, similar
+sets share one so early in both that enough shingles follow it. Thus many sets with one common passage do not meet, no
+bucket is capped and no pair within a component is written out.
 """
 
 from __future__ import annotations
@@ -44,10 +43,6 @@ _MIX = _RANDOM.integers(1, 1 << 63, ROWS + 2, np.uint64) * np.uint64(2) + np.uin
 # Shingles that are hashed at once.
 SLICE = 4096
 
-# Of LEADERS[-1] parts of the classes, so many lead in each further round.
-LEADERS = (1, 8, 64)
-
-
 def shingles(raw: bytes, hashes: WordRows, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle, none an empty set."""
     row = np.fromiter(map(hashes.__getitem__, raw.lower().split()), np.uint64)
@@ -152,26 +147,15 @@ def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, perc
 
     sets = saved(_sets(docs, members.select("cls").distinct(), words), "near-sets")
     pairs = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    measured = _measured(saved(pairs, "near-pairs"), sets, percent)
-    tested = measured.select("a", "b").distinct()
-    stars = components(measured.where("linked"))
-    tokens = None
-    led = 0
-    for share in LEADERS:
-        unsettled = _open_classes(members, stars)
-        if unsettled.isEmpty():
-            break
-        if tokens is None:
-            tokens = _prefixes(unsettled, sets, percent).join(_pivots(measured), "cls", "left")
-            tokens = saved(tokens, "near-prefixes")
-        pairs = _meeting(tokens, unsettled, led, share, percent)
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        links = _measured(pairs, sets, percent).where("linked").select("a", "b")
-        if not links.isEmpty():
-            stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("cls").alias("b"))))
-        tested = tested.unionByName(pairs)
-        led = share
-    return stars
+    stars = components(_linked(saved(pairs, "near-pairs"), sets, percent))
+    unsettled = _open_classes(members, stars)
+    if unsettled.isEmpty():
+        return stars
+    pairs = _meeting(saved(_prefixes(unsettled, sets, percent), "near-prefixes"), percent)
+    links = _linked(saved(pairs, "near-pairs"), sets, percent)
+    if links.isEmpty():
+        return stars
+    return components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("cls").alias("b"))))
 
 
 def _open_classes(members: DataFrame, stars: DataFrame) -> DataFrame:
@@ -185,50 +169,38 @@ def _open_classes(members: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _prefixes(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, shingle, short): the shingles of each set by which it can meet similar ones.
+    """(cls, root, n, shingle, place): the shingles of each set by which it can meet similar ones, rare ones first.
 
-    Rare shingles come first. Of a set with n shingles, the first n - ceil(n * p) + 1 meet smaller sets; those with
-    ``short`` are the first n - ceil(2 * n * p / (1 + p)) + 1, which suffice towards sets that are not smaller.
+    Sets of n and m >= n shingles that are similar share at least need = ceil(p * (n + m) / (1 + p)), so the first that
+    they share stands at most at n - need + 1 in one and at m - need + 1 in the other. As n >= p * m, the latter is at
+    most m - ceil(m * p) + 1, and n has no later place than that.
     """
-    tokens = unsettled.select("cls").join(sets, F.col("cls") == sets["doc_id"])
-    tokens = tokens.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    tokens = unsettled.join(sets, F.col("cls") == sets["doc_id"])
+    # an id may have several sets, and repeated rows have one set several times
+    own = F.xxhash64("shingles").alias("own")
+    tokens = tokens.select("cls", "root", own, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     spread = tokens.groupBy("shingle").agg(F.count("*").alias("sets"))
-    order = Window.partitionBy("cls", "n").orderBy("sets", "shingle")
-    ranked = tokens.join(spread, "shingle").withColumn("place", F.row_number().over(order))
+    order = Window.partitionBy("cls", "own").orderBy("sets", "shingle")
+    ranked = tokens.join(spread, "shingle").withColumn("place", F.dense_rank().over(order))
     least = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    short = F.expr(f"n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
     ranked = ranked.where((F.col("place") <= least) & (F.col("sets") > 1))
-    return ranked.select("cls", "n", "shingle", (F.col("place") <= short).alias("short"))
-
-
-def _pivots(measured: DataFrame) -> DataFrame:
-    """(cls, pivot, far): the smallest class that each class was compared with, and its distance from it."""
-    one = measured.groupBy("b", "a").agg(F.min("distance").alias("far"), F.max("distance").alias("most"))
-    # ids with several sets have no distance
-    one = one.where("far = most").groupBy(F.col("b").alias("cls")).agg(F.min(F.struct("a", "far")).alias("p"))
-    return one.select("cls", F.col("p.a").alias("pivot"), "p.far")
+    return ranked.select("cls", "root", "n", "shingle", "place")
 
 
-def _meeting(tokens: DataFrame, unsettled: DataFrame, led: int, share: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a shingle of their prefixes, one of them a leader of this round.
+def _meeting(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle with enough shingles from there on in both sets.
 
-    Pairs whose sizes differ too much are left out, and those whose distances from one pivot do: the Jaccard distance
-    of two sets is at least the difference of their distances from a third.
+    The first shingle that two similar sets share always has them, as all they share stands from there on; a later
+    match seldom does, so a pair appears about once.
     """
-    limit = 1 - percent / 100 + 1e-9
-    known = tokens.join(unsettled, "cls").withColumn("spot", F.pmod(F.xxhash64("cls"), F.lit(LEADERS[-1])))
-    small, large = known.where("short").alias("s"), known.alias("l")
+    small, large = tokens.alias("s"), tokens.alias("l")
+    need = F.expr(f"((s.n + l.n) * {percent} + {99 + percent}) div {100 + percent}")
     meet = [
         F.col("s.shingle") == F.col("l.shingle"),
         F.col("s.root") != F.col("l.root"),
         (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.cls") < F.col("l.cls"))),
-        F.col("s.n") * 100 >= F.col("l.n") * percent,
-        F.coalesce(
-            (F.col("s.pivot") != F.col("l.pivot")) | (F.abs(F.col("s.far") - F.col("l.far")) <= limit), F.lit(True)
-        ),
-        (F.col("s.spot") < share) | (F.col("l.spot") < share),
-        # pairs with an earlier leader are known
-        (F.col("s.spot") >= led) & (F.col("l.spot") >= led),
+        F.col("s.n") - F.col("s.place") + 1 >= need,
+        F.col("l.n") - F.col("l.place") + 1 >= need,
     ]
     pairs = small.join(large, meet)
     return pairs.select(F.least("s.cls", "l.cls").alias("a"), F.greatest("s.cls", "l.cls").alias("b")).distinct()
@@ -252,26 +224,22 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return text_batches(rows, run, f"doc_id {id_type}, shingles array<bigint>")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs by their full sets; several rows where an id has several sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough by their full sets."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            distances, linked = [], []
+            linked = []
             for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True):
                 common = np.intersect1d(x, y, assume_unique=True).size
-                union = x.size + y.size - common
-                distances.append(1 - common / union)
-                linked.append(100 * common >= percent * union)
-            columns = [pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "distance", "linked"])
+                linked.append(100 * common >= percent * (x.size + y.size - common))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     id_type = pairs.schema["a"].dataType.simpleString()
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    schema = f"a {id_type}, b {id_type}, distance double, linked boolean"
-    return saved(text_batches(both, run, schema), "near-measured")
+    return saved(text_batches(both, run, f"a {id_type}, b {id_type}").distinct(), "near-links")
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:

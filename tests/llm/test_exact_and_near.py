@@ -117,6 +117,22 @@ def test_near_groups_equal_brute_force(spark):
         assert found == brute(rows, words)
 
 
+def test_near_groups_of_edited_copies(spark):
+    """Copies with few to many edits, every row twice: many pairs just below the limit in common buckets."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(90)], {}
+    for i in range(120):
+        words = list(base)
+        for place in rng.integers(90, size=rng.integers(16)):
+            words[place] = f"e{rng.integers(12)}"
+        rows[i] = " ".join(words[: 90 - rng.integers(12)])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = minhash.near_groups(docs.unionByName(docs), 2).collect()
+    expected = brute(rows, 2)
+    assert len(rows) > len({component for _, component in expected.values()}) > 2
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(2 * [(i, *v) for i, v in expected.items()])
+
+
 def test_near_on_odd_rows(odd, none):
     found = minhash.near_groups(odd, 5)
     assert found.count() == odd.count()
