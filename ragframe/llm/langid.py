@@ -124,8 +124,8 @@ def proportions(logs: np.ndarray) -> tuple[np.ndarray, float]:
     odds = np.exp(logs - top)
     shares = np.full(logs.shape[1], 1 / logs.shape[1])
     for _ in range(ROUNDS if logs.shape[1] > 1 else 0):
-        mixed = odds * shares
-        shares = (mixed / mixed.sum(axis=1, keepdims=True)).mean(axis=0)
+        # the mean over the words of each language's part in the word's likelihood
+        shares = shares * ((1 / (odds @ shares)) @ odds) / len(odds)
     return shares, float(top.sum() + np.log(odds @ shares).sum())
 
 
