@@ -9,8 +9,8 @@ more than ``PENALTY`` times the logarithm of the number of words. The prediction
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import Batches, WordRows, saved, text_batches
+from ragframe.llm.common import Batches, saved, text_batches
 
 # Hashed n-grams: the counts of a language are BUCKETS numbers, whatever the input.
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
 LONGEST = 3
 SMOOTHING = 0.5
 ROUNDS = 12
@@ -30,18 +31,32 @@ PENALTY = 3.0
 MOST_LANGUAGES = 4
 NO_LANGUAGE = "und"
 WORD_CHARS = 40
+# Words of a text that are looked up at once.
+PIECE_WORDS = 10_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters in a row count as words of so many at most, so one word stays small.
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
 
+# Odd numbers of a multiplicative hash over code points.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams; letters of very long words count in pieces."""
-    out = []
-    for start in range(0, len(word), WORD_CHARS):
-        piece = f" {word[start : start + WORD_CHARS].lower()} "
-        for n in range(1, LONGEST + 1):
-            out += [zlib.crc32(piece[i : i + n].encode()) % BUCKETS for i in range(len(piece) - n + 1)]
-    return out
+
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per n: buckets of the n-grams of all words, word after word, and how many each word has.
+
+    A word is lower-cased and has a space at both ends, so it has at least one n-gram of each length.
+    """
+    spaced = [f" {w.lower()} " for w in words]
+    sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+    points = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(sizes.size), sizes)
+    code = np.zeros(points.size, np.uint64)
+    for n in range(1, LONGEST + 1):
+        count = max(0, points.size - n + 1)
+        code = code[:count] * _STEP + points[n - 1 :] + np.uint64(1)
+        within = word[:count] == word[n - 1 :]
+        mixed = (code ^ (code >> np.uint64(29))) * _MIX
+        yield (mixed[within] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), sizes - n + 1
 
 
 @dataclass
@@ -60,8 +75,9 @@ def learn(docs: DataFrame, rest: Column) -> Languages:
         def empty() -> None:
             for lang, counted in words.items():
                 table = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for word, n in counted.items():
-                    np.add.at(table, grams(word), n)
+                times = np.fromiter(counted.values(), np.int64, len(counted))
+                for buckets, sizes in grams(list(counted)):
+                    table += np.bincount(buckets, np.repeat(times, sizes), BUCKETS).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -95,25 +111,31 @@ class Reader:
     def __init__(self, languages: Languages, limit: int = 300_000):
         self.languages, self.limit = languages, limit
         self.table = np.zeros((4096, len(languages.names)))
-        self.rows = WordRows(self._row, 1 << 60)
+        self.rows: dict[str, int] = {}
 
-    def _row(self, word: str) -> int:
-        row = len(self.rows)
-        if row >= len(self.table):
+    def _add(self, words: list[str]) -> None:
+        first, last = len(self.rows), len(self.rows) + len(words)
+        while last > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.languages.logs[grams(word)].sum(axis=0)
-        return row
+        self.table[first:last] = sum(
+            np.add.reduceat(self.languages.logs[buckets], np.cumsum(sizes) - sizes, axis=0)
+            for buckets, sizes in grams(words)
+        )
+        self.rows.update(zip(words, range(first, last), strict=True))
 
     def likelihoods(self, text: str) -> np.ndarray:
         """words x languages; the words' n-grams counted per word."""
         words = _LETTERS.findall(text)
         out = []
         # in pieces, so that emptying the table cannot mix rows
-        for start in range(0, len(words), 50_000):
-            piece = words[start : start + 50_000]
+        for start in range(0, len(words), PIECE_WORDS):
+            piece = words[start : start + PIECE_WORDS]
             if len(self.rows) + len(piece) > self.limit:
                 self.rows.clear()
-            rows = np.fromiter(map(self.rows.__getitem__, piece), np.int64)
+            new = [w for w in dict.fromkeys(piece) if w not in self.rows]
+            if new:
+                self._add(new)
+            rows = np.fromiter(map(self.rows.__getitem__, piece), np.int64, len(piece))
             out.append(self.table[rows])
         return np.concatenate(out) if out else np.zeros((0, len(self.languages.names)))
 
