@@ -14,7 +14,8 @@ from ragframe.functions.artifacts import (
 from ragframe.functions.params import tool_gate
 from ragframe.functions.text import redact, redact_columns
 from ragframe.operators.answers import finalize, response
-from ragframe.operators.grounding import contexts, tool_prompt
+from ragframe.operators.evaluation import routed
+from ragframe.operators.grounding import contexts, fill, tool_prompt
 from ragframe.operators.search import search
 from ragframe.plans.ask import SOURCE_LIST, respond, retrieved
 from ragframe.settings import (
@@ -33,11 +34,47 @@ def tool_calls(questions: DataFrame) -> DataFrame:
     Questions that ask for no artifact go to ``ask`` without looking at the
     answer. Arguments that are missing are filled from the question.
     """
+    return _resolved(_requests(questions)).drop("_safe", "_asked")
+
+
+def _requests(questions: DataFrame) -> DataFrame:
+    """Questions with their redacted text, and whether that asks for an artifact."""
     safe = questions.withColumn("_safe", redact(F.col("question")))
-    asked = is_artifact_request(F.col("_safe"))
-    parsed = safe.withColumn("_json", F.when(asked, F.try_parse_json("routing")))
-    call = tool_call(F.col("_json"), F.col("question"))
-    return parsed.withColumns(call).drop("_safe", "_json", "routing")
+    return safe.withColumn("_asked", is_artifact_request(F.col("_safe")))
+
+
+def _resolved(requests: DataFrame) -> DataFrame:
+    parsed = requests.withColumn("_json", F.when(F.col("_asked"), F.try_parse_json("routing")))
+    return parsed.withColumns(tool_call(F.col("_json"), F.col("question"))).drop("_json", "routing")
+
+
+def routing_prompts(questions: DataFrame, template: str) -> DataFrame:
+    """Routing prompt per question that asks for an artifact (the others need no model).
+
+    ``template`` has a ``{question}`` place, which gets the redacted question.
+    """
+    asked = _requests(questions).filter("_asked")
+    return asked.select(
+        F.col("query_id").cast("string").alias("query_id"),
+        fill(template, {"question": F.col("_safe")}).alias("prompt"),
+    )
+
+
+def routing_results(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Expected and predicted tool of labelled questions, with ``correct``.
+
+    ``questions``: query_id, question, expected_tool; ``answers``: query_id, routing.
+    A prompted question without an answer (the model failed) counts as ``invalid``.
+    """
+    given = answers.select(F.col("query_id").cast("string").alias("query_id"), "routing")
+    asked = _requests(questions.withColumn("query_id", F.col("query_id").cast("string")))
+    joined = asked.join(given, "query_id", "left")
+    failed = F.col("_asked") & F.col("routing").isNull()
+    calls = _resolved(joined.withColumn("_failed", F.coalesce(failed, F.lit(False))))
+    predicted = F.when(~F.col("_failed"), F.col("tool"))
+    return routed(
+        calls.select("query_id", "question", "expected_tool", predicted.alias("predicted_tool"))
+    )
 
 
 def gated(calls: DataFrame) -> DataFrame:
@@ -111,8 +148,11 @@ def artifacts(
     cited = finalize(F.col("structured.sources"), F.col("source_ids"))
     structured = F.when(error.isNull(), F.col("structured").withField("sources", cited))
     empty = F.array().cast(SOURCE_LIST)
+    # What a decision record decides has a name of its own.
+    shown, decides = redact(F.col("request")), F.col("tool") == "adr"
     args = F.struct(
-        redact(F.col("request")).alias("request"),
+        F.when(decides, shown).alias("decision"),
+        F.when(~decides, shown).alias("request"),
         F.transform("alternatives", lambda a: redact(a)).alias("alternatives"),
         redact(F.col("context_query")).alias("context_query"),
     )

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.operators.answers import normalized
+from ragframe.operators.evaluation import tool_accuracy
 from ragframe.operators.search import search
+from ragframe.plans.artifact import routing_results
 from ragframe.plans.ask import retrieved
+from ragframe.session import checkpointed
 from ragframe.settings import UNKNOWN_ANSWER, RetrievalDefaults
+from ragframe.sources.files import write_report
 
 EVAL_K = 3
 
@@ -34,6 +38,17 @@ def eval_dataset(
     return eval_rows(questions, hits, answers, defaults)
 
 
+def routing_eval(questions: DataFrame, answers: DataFrame, path: str) -> DataFrame:
+    """Routing evaluation to rows and a summary below ``path``; returns the summary.
+
+    The results are worked out once: the summary is taken from the rows as kept.
+    """
+    results = checkpointed(routing_results(questions, answers))
+    summary = tool_accuracy(results)
+    write_report(results, summary, path)
+    return summary
+
+
 def eval_rows(
     questions: DataFrame,
     hits: DataFrame,

@@ -1212,6 +1212,55 @@ def parse_tool_call(spark, sf):
     )
 
 
+@register(
+    "routing_prompts",
+    with_(
+        sql.QUESTIONS,
+        f"safe AS (SELECT query_id, {sql.redact('question')} AS question FROM questions)",
+        select=f"""SELECT query_id, 'Tools: {{adr}}. Question: ' || question AS prompt
+FROM safe WHERE {sql.is_artifact("lower(question)")}""",
+    ),
+)
+def routing_prompts(spark, sf):
+    """Prompts of the questions that a model has to route."""
+    return artifact.routing_prompts(
+        fx.questions(spark, sf), "Tools: {{adr}}. Question: {question}"
+    )
+
+
+# Every seventh conversation has no routing answer.
+UNANSWERED = "conv_id % 7 = 3"
+
+
+@register(
+    "routing_eval",
+    with_(
+        sql.QUESTIONS,
+        ROUTING_SQL,
+        f"""predictions AS (
+  SELECT expected_tool, CASE WHEN NOT ({UNANSWERED}) THEN tool
+    WHEN {sql.is_artifact("lower(" + sql.redact("q.question") + ")")} THEN 'invalid' ELSE 'ask' END AS predicted_tool
+  FROM questions q JOIN calls USING (query_id))""",
+        select="""SELECT 'row' AS part, expected_tool, predicted_tool, count(*)::BIGINT AS n, NULL::DOUBLE AS accuracy
+FROM predictions GROUP BY ALL
+UNION ALL SELECT 'summary', NULL, NULL, count(*)::BIGINT, avg((expected_tool = predicted_tool)::INT) FROM predictions""",
+    ),
+)
+def routing_eval(spark, sf):
+    """Routing answers of all questions judged, written as rows and summary, and read back."""
+    path = new_path(spark, "routing")
+    missing = fx.questions(spark, sf).filter(UNANSWERED).select("query_id")
+    answers = fx.routing_outputs(spark, sf).join(missing, "query_id", "left_anti")
+    evaluate.routing_eval(fx.questions(spark, sf), answers, path)
+    rows = src.read_jsonl(spark, f"{path}/rows", "expected_tool string, predicted_tool string")
+    summary = src.read_jsonl(spark, f"{path}/summary", "total bigint, accuracy double")
+    counts = rows.groupBy("expected_tool", "predicted_tool").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumns({"part": F.lit("row"), "accuracy": F.lit(None).cast("double")}).unionByName(
+        summary.select(F.lit("summary").alias("part"), F.col("total").alias("n"), "accuracy"),
+        allowMissingColumns=True,
+    )
+
+
 @register(
     "route_by_rules",
     with_(sql.QUESTIONS, select=f"SELECT query_id, {sql.routed('question')} AS tool FROM questions"),
@@ -1397,7 +1446,9 @@ outputs AS (
   WHERE o.tool <> 'ask'),
 failed AS (SELECT *, CASE WHEN NOT grounded THEN 'not_enough_context' ELSE output_error END AS error FROM checked)""",
         select=f"""
-SELECT query_id, tool AS agent_tool, {sql.redact("question || ' x@example.org'")} AS request,
+SELECT query_id, tool AS agent_tool,
+  CASE WHEN tool = 'adr' THEN {sql.redact("question || ' x@example.org'")} END AS decision,
+  CASE WHEN tool <> 'adr' THEN {sql.redact("question || ' x@example.org'")} END AS request,
   CASE WHEN tool = 'adr' THEN '<EMAIL_ADDRESS>|b' END AS alternatives,
   CASE WHEN grounded THEN coalesce(array_to_string(source_marks, '|'), '') ELSE '' END AS sources,
   CASE WHEN error IS NULL THEN array_to_string(source_ids[1:3], '|') END AS cited,
@@ -1413,6 +1464,7 @@ def artifact_batch(spark, sf):
     return _response_view(rows).select(
         "query_id",
         "agent_tool",
+        F.col("agent_args.decision").alias("decision"),
         F.col("agent_args.request").alias("request"),
         joined("agent_args.alternatives").alias("alternatives"),
         "sources",

@@ -79,12 +79,45 @@ def test_artifacts_there_and_back(spark, store):
     assert [(r.query_id, r.answer) for r in plain.collect()] == [("c", "yes [backup.md]")]
     rows = {r.query_id: r for r in made.collect()}
     assert rows["a"].error == "invalid_structured_output" and rows["a"].structured is None
+    assert (rows["a"].agent_args.decision, rows["a"].agent_args.request) == ("keep <EMAIL_ADDRESS>", None)
+    assert rows["b"].agent_args.decision is None and rows["b"].agent_args.request.startswith("Prepare")
     assert rows["b"].error is None
     assert rows["b"].structured.sources == ["external/guide.pdf#p2"]
     assert rows["b"].structured.risks == ["r of <EMAIL_ADDRESS>"]
     assert rows["b"].structured.title is None
 
 
+def test_routing_prompts_and_evaluation(spark, tmp_path):
+    questions = spark.createDataFrame(
+        [
+            (1, "Create an ADR for x@y.org", "adr"),
+            (2, "What is new?", "ask"),
+            (3, "Prepare a risk assessment", "risk_assessment"),
+            (4, "Create an ADR", "ask"),
+            (5, None, "ask"),
+        ],
+        "query_id int, question string, expected_tool string",
+    )
+    prompts = artifact.routing_prompts(questions, "{{t}} {question}").collect()
+    assert {r.query_id: r.prompt for r in prompts} == {
+        "1": "{t} Create an ADR for <EMAIL_ADDRESS>",
+        "3": "{t} Prepare a risk assessment",
+        "4": "{t} Create an ADR",
+    }
+    answers = spark.createDataFrame(
+        [(1, '{"tool": "adr", "args": {}}'), (2, '{"tool": "adr", "args": {}}'), (4, "nonsense")],
+        "query_id int, routing string",
+    )
+    summary = evaluate.routing_eval(questions, answers, str(tmp_path / "report")).first()
+    assert (summary.total, summary.correct, summary.accuracy) == (5, 4, 0.8)
+    rows = spark.read.json(str(tmp_path / "report" / "rows")).collect()
+    assert {r.query_id: r.predicted_tool for r in rows} == {
+        "1": "adr", "2": "ask", "3": "invalid", "4": "ask", "5": "ask",
+    }
+    empty = evaluate.routing_eval(questions.limit(0), answers, str(tmp_path / "none")).first()
+    assert (empty.total, empty.accuracy) == (0, 0.0)
+
+
 def test_evaluation_table(spark, store):
     asked = spark.createDataFrame(
         [("1", "first risk of the list", "Injection."), ("2", "zzz", None)],
