@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field with two tags.
 
 Labels are per document, so token labels come first: a word or word beginning is a cue if it occurs in training
-documents labelled toxic and (nearly) never in others; the tokens of toxic documents with a cue are labelled toxic. The
-field is then trained on these token sequences: emission weights for a token's word, beginning, end and neighbours,
-and weights of the tag transitions, by the gradient that forward-backward gives. A document's score is a logistic
-function of its tokens' marginals; spans of tokens whose marginal reaches ``SPAN_CUT`` are its offending offsets.
+documents labelled toxic and (nearly) never in others; the cues in toxic documents are labelled toxic, all other tokens
+clean. The field is then trained on these token sequences, each the whole text; toxic documents without a cue are left
+out of this step. It has emission weights for a token's word, beginning, end and neighbours, and weights of the tag
+transitions, by the gradient that forward-backward gives. A document's score is a logistic function of its tokens'
+marginals; spans of tokens whose marginal reaches ``SPAN_CUT`` are its offending offsets.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled documents; scoring reads every whole text once, without a
 shuffle. Scores depend on the text only.
@@ -37,8 +38,11 @@ CUE_DOCUMENTS, CUE_SHARE = 4, 0.97
 CUES = 50_000
 
 SPAN_CUT = 0.5
-EPOCHS, RATE = 6, 0.3
-SEED = 11
+# Rounds over the whole sample, step of a weight, gradient below which a weight's steps are smaller.
+ROUNDS, RATE, PRIOR = 12, 0.5, 2.0
+# Most tasks that sum gradients; tokens in a row of packed texts, unless the last one is longer.
+TASKS = 16
+SEQUENCE_TOKENS = 1 << 18
 
 _PIECE = re.compile(r"\S+")
 
@@ -68,7 +72,14 @@ class Field:
 
 
 def marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Probability of the toxic tag for each token, by forward-backward over all sequences side by side.
+    """Probability of the toxic tag for each token, by forward-backward over all sequences side by side."""
+    _, forward, backward = _messages(scores, sizes, moves)
+    both = forward * backward
+    return both / (1 + both)
+
+
+def _messages(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of the toxic tag for each token: by itself, by what is before it and itself, by what is after it.
 
     ``scores`` are the tokens' log-odds for the toxic tag, sequence after sequence. With two tags a message is a
     single ratio, so each step of all running sequences is one vector operation.
@@ -94,8 +105,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.nd
             ahead = starts[:more] + t + 1
             weight = np.minimum(odds[ahead] * backward[ahead], 1e30)
             backward[at[:more]] = (c + d * weight) / (a + b * weight)
-    both = forward * backward
-    return both / (1 + both)
+    return odds, forward, backward
 
 
 def token_scores(rows: np.ndarray, sizes: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
@@ -171,69 +181,99 @@ class Words:
 
 
 def _trained(sample: DataFrame, cues: set[str]) -> Field:
-    """Gradient descent in the driver over token sequences that tasks have reduced to features near the cues.
+    """Steps in the driver along exact gradients, which tasks sum over the sample's whole texts.
 
-    Of a toxic document all tokens within three of a cue are used, of a clean one its first and a random stretch, so
-    what the driver gets is bounded by the sample's rows. Document scores are fitted on whole texts in tasks.
+    Every token of a clean document and of a toxic one with a cue is used, in every round. A toxic document without a
+    cue says nothing about its tokens; it counts for the document scores only. The driver gets a sum per task, of a
+    size that does not depend on the texts.
     """
-    stretch = 24
-
-    def cut(batches: Batches) -> Batches:
-        for batch in batches:
-            feats, tags = [], []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split()
-                marks = [toxic > 0 and any(k in cues for k in keys(w)) for w in words]
-                hits = [i for i, m in enumerate(marks) if m]
-                start = max(0, hits[len(hits) // 2] - stretch // 2) if hits else xxhash.xxh32_intdigest(text) % max(1, len(words))
-                part = range(start, min(len(words), start + stretch))
-                feats.append([(_slots(words[i]) + [FEATURES] * 5)[:5] for i in part])
-                tags.append([int(marks[i]) for i in part])
-            flat = [[s for f in row for s in f] for row in feats]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int8()))], ["slots", "tags"]
-            )
-
-    got = text_batches(sample, cut, "slots array<int>, tags array<tinyint>").toArrow()
-    rows = sorted(zip(got.column("slots").to_pylist(), got.column("tags").to_pylist(), strict=True))
+    sequences = saved(_sequences(sample, cues), "toxic-sequences")
     field = Field(*(np.zeros(FEATURES + 1) for _ in range(3)), -3.0, np.zeros((2, 2)), (0.0, 0.0, 0.0))
-    random = np.random.default_rng(SEED)
-    rows = [(np.array(s, np.int64).reshape(-1, 5), np.array(t, np.float64)) for s, t in rows if t]
-    for epoch in range(EPOCHS):
-        order = random.permutation(len(rows))
-        for start in range(0, len(order), 64):
-            _step(field, [rows[i] for i in order[start : start + 64]], RATE / (1 + epoch / 2))
+    weights = np.concatenate([np.zeros(3 * (FEATURES + 1) + 4), [field.bias]])
+    squares = np.zeros_like(weights)
+    for _ in range(ROUNDS):
+        gradient = _summed(sequences, field)
+        squares += gradient * gradient
+        weights += RATE * gradient / (PRIOR + np.sqrt(squares))
+        own, before, after = weights[:-5].reshape(3, -1)
+        field = Field(own, before, after, float(weights[-1]), weights[-5:-1].reshape(2, 2), field.calibration)
     field.calibration = _calibrated(sample, field)
     return field
 
 
-def _step(field: Field, batch: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-    """One step along the gradient: tags as they are minus tags as expected."""
-    slots, tags = np.concatenate([s for s, _ in batch]), np.concatenate([t for _, t in batch])
-    sizes = np.array([len(t) for _, t in batch], np.int64)
+def _sequences(sample: DataFrame, cues: set[str]) -> DataFrame:
+    """Whole tagged texts, many a row: features of the words, the tokens' words, tokens per text, the tokens' tags."""
+
+    def packed(words: dict[str, int], rows: list[int], sizes: list[int], tags: list[int]) -> pa.RecordBatch:
+        slots = [s for w in words for s in (_slots(w) + [FEATURES] * 5)[:5]]
+        columns = [pa.array([c], pa.list_(k)) for c, k in zip((slots, rows, sizes, tags), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["slots", "rows", "sizes", "tags"])
+
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int8())
+
+    def tagged(batches: Batches) -> Batches:
+        is_cue = WordRows(lambda w: int(any(k in cues for k in keys(w))))
+        words, rows, sizes, tags = {}, [], [], []
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = text.split()
+                marks = [is_cue[w] for w in tokens] if toxic > 0 else [0] * len(tokens)
+                if not tokens or (toxic > 0 and not any(marks)):
+                    continue
+                rows += [words.setdefault(w, len(words)) for w in tokens]
+                sizes.append(len(tokens))
+                tags += marks
+                if len(rows) >= SEQUENCE_TOKENS:
+                    yield packed(words, rows, sizes, tags)
+                    words, rows, sizes, tags = {}, [], [], []
+        if sizes:
+            yield packed(words, rows, sizes, tags)
+
+    schema = "slots array<int>, rows array<int>, sizes array<int>, tags array<tinyint>"
+    return text_batches(sample.coalesce(TASKS), tagged, schema)
+
+
+def _summed(sequences: DataFrame, field: Field) -> np.ndarray:
+    """Gradient of the log-likelihood over all sequences: own, before, after, transitions, bias."""
+    shared = sequences.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Batches) -> Batches:
+        total = np.zeros(3 * (FEATURES + 1) + 5)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total += _gradient(shared.value, *(c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["at", "part"])
+
+    got = text_batches(sequences.coalesce(TASKS), run, "at int, part double").toArrow()
+    shared.destroy()
+    size = 3 * (FEATURES + 1) + 5
+    return np.bincount(got.column("at").to_numpy(), got.column("part").to_numpy(), size)
+
+
+def _gradient(field: Field, slots: np.ndarray, rows: np.ndarray, sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Tags and pairs of tags as they are minus those expected, summed by feature."""
+    slots = slots.reshape(-1, 5)
     table = np.stack([w[slots].sum(axis=1) for w in (field.own, field.before, field.after)], axis=1)
-    rows = np.arange(len(slots))
-    p = marginals(token_scores(rows, sizes, table, field.bias), sizes, field.moves)
-    error = tags - p
-    last = np.zeros(len(slots), bool)
-    last[np.cumsum(sizes) - 1] = True
-    follows = ~np.roll(last, 1)
-    follows[0] = False
-    np.add.at(field.own, slots.ravel(), np.repeat(rate * error, 5))
-    np.add.at(field.before, slots[:-1][follows[1:]].ravel(), np.repeat(rate * error[1:][follows[1:]], 5) / 4)
-    np.add.at(field.after, slots[1:][follows[1:]].ravel(), np.repeat(rate * error[:-1][follows[1:]], 5) / 4)
+    odds, forward, backward = _messages(token_scores(rows, sizes, table, field.bias), sizes, field.moves)
+    both = forward * backward
+    error = tags - both / (1 + both)
+    inner = np.ones(rows.size, bool)
+    inner[np.cumsum(sizes) - 1] = False
+    left = np.flatnonzero(inner)
+    right = left + 1
+    by_word = (
+        np.bincount(rows, error, len(slots)),
+        np.bincount(rows[left], error[right], len(slots)),
+        np.bincount(rows[right], error[left], len(slots)),
+    )
+    by_slot = np.stack([np.bincount(slots.ravel(), np.repeat(g, 5), FEATURES + 1) for g in by_word])
     # the last slot only fills up rows
-    field.own[-1] = field.before[-1] = field.after[-1] = 0
-    field.bias += rate * error.mean()
-    # moves: pairs of neighbours, expected from the marginals of both
-    x, y = p[:-1][follows[1:]], p[1:][follows[1:]]
-    s, t = tags[:-1][follows[1:]], tags[1:][follows[1:]]
-    n = max(1, x.size)
-    for i in (0, 1):
-        for j in (0, 1):
-            seen = np.where(i, s, 1 - s) * np.where(j, t, 1 - t)
-            expected = np.where(i, x, 1 - x) * np.where(j, y, 1 - y)
-            field.moves[i, j] += rate * (seen - expected).sum() / n
+    by_slot[:, -1] = 0
+    ahead = odds[right] * backward[right]
+    pairs = np.exp(field.moves).ravel()[:, None] * np.stack([np.ones(left.size), ahead, forward[left], forward[left] * ahead])
+    seen = np.bincount(2 * tags[left].astype(np.int64) + tags[right], minlength=4)
+    return np.concatenate([by_slot.ravel(), seen - (pairs / pairs.sum(axis=0)).sum(axis=1), [error.sum()]])
 
 
 def _calibrated(sample: DataFrame, field: Field) -> tuple[float, float, float]:
