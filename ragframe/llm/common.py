@@ -80,12 +80,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rest: Column
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def membership(ids: DataFrame) -> np.ndarray:
-    """A one-hash filter over the single column of ``ids``: 2**FILTER_BITS bits at any input size.
+def membership(ids: DataFrame, size: int = FILTER_BITS, hashed: bool = False) -> np.ndarray:
+    """A one-hash filter of 2**size bits over the single column of ``ids`` (with ``hashed``, 64-bit hashes already).
 
     False positives only cost work; the answer "absent" is always right.
     """
-    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << FILTER_BITS))
+    key = F.col(ids.columns[0])
+    place = F.pmod(key if hashed else F.xxhash64(key), F.lit(1 << size))
     words = (
         ids.select(place.alias("p"))
         .select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
@@ -93,14 +94,14 @@ def membership(ids: DataFrame) -> np.ndarray:
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
     )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits = np.zeros(1 << (size - 6), np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return bits
 
 
 def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the xxhash64 values may be members."""
-    place = hashes.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    """Which of the 64-bit hashes may be members."""
+    place = hashes.view(np.uint64) & np.uint64(64 * bits.size - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import bpe, chat, exact_dedup, langid, minhash, mixing, quality, rules, toxicity, warc
+from ragframe.llm import (
+    bpe,
+    chat,
+    collocations,
+    exact_dedup,
+    html,
+    langid,
+    minhash,
+    mixing,
+    quality,
+    rules,
+    toxicity,
+    variants,
+    warc,
+)
 from ragframe.llm.common import held_out, table
 
 CUT = 0.7
@@ -85,6 +99,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,7 +124,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_langid,
         op9_minhash,
         op10_quality_rules,
+        op11_variants,
+        op12_collocations,
+        op13_html,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op11_variants": variants.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+}
