@@ -5,9 +5,9 @@ overlap in: an edge (w1, w2, w3) goes from (w1, w2) to (w2, w3), its weight is h
 follow: a node occurs as often as its outgoing edges together, plus the times it stands at the end of a piece, where no
 edge leaves it; in the same way a word by the pairs that it begins, plus the times it ends a piece.
 
-A pair that occurs less than ``LEAST`` times is in no candidate, so beyond it an edge needs no words: all that goes on
-from there is one edge with an open end, whose weight still counts in the flow. Which pairs may be frequent is found
-before by counts of their hashes; a clash of hashes only keeps words that were not needed.
+A word or pair that occurs less than ``LEAST`` times is in no candidate, so beyond it an edge needs no words: all that
+goes on from there is one edge with an open end, whose weight still counts in the flow. Which words and pairs may be
+frequent is found before by counts of their hashes; a clash of hashes only keeps words that were not needed.
 
 Unary paths (runs of edges whose inner nodes have one edge in and one out) become one row each, with the counts of all
 their nodes and words, so long repeated passages are a row, and phrases are scored along the paths without further joins.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ WORDS_HELD, GRAMS_HELD = 500_000, 2_000_000
 WORD_BITS = 20
 # Edges in a row of a path; a longer path goes on in the next row.
 PATH_EDGES = 1_000
-# Bits of the filter of frequent pairs: a multiple of their number, 2**28 (32 MB) at most.
+# Bits of the filter of frequent words and pairs: a multiple of their number, 2**28 (32 MB) at most.
 FILTER_MOST_BITS = 28
+# Parts of a language that are ranked on their own before the whole.
+RANKED_APART = 16
 
 _END = b"\xff"
 # Ends of pieces become a byte that no UTF-8 text has; blanks and tabs part words.
@@ -82,15 +85,23 @@ class _Words:
             self.hashes[at] = xxhash.xxh64_intdigest(word)
         return np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
 
+    def alone(self, row: np.ndarray, lang: int) -> np.ndarray:
+        """Hashes of the words in the language that ``lang`` stands for."""
+        return self._mixed(row, np.uint64(0), lang)
+
     def pairs(self, row: np.ndarray, lang: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word with the one after it: is it a pair, and its hash in the language that ``lang`` stands for."""
-        first, second = self.hashes[row[:-1]], self.hashes[row[1:]]
+        """Of each word with the one after it: is it a pair, and its hash."""
+        return (row[:-1] > 0) & (row[1:] > 0), self._mixed(row[:-1], self.hashes[row[1:]], lang)
+
+    def _mixed(self, row: np.ndarray, second: np.ndarray, lang: int) -> np.ndarray:
+        first = self.hashes[row]
         mixed = ((first ^ np.uint64(lang)) * _MIX) ^ (first >> np.uint64(31))
         mixed = (mixed + second) * _TURN
-        return (row[:-1] > 0) & (row[1:] > 0), (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
     def texts(self) -> pa.Array:
-        return pa.array(list(self.numbers), pa.binary())
+        """The words by number; none for 0."""
+        return pa.array([b"", *list(self.numbers)[1:]], pa.binary())
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -129,50 +140,54 @@ class _Sums:
         return self.parts[0]
 
 
-def _frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
-    """A filter that holds the hashes of all pairs with ``least`` occurrences in a language."""
+def _frequent(texts: DataFrame, least: int) -> np.ndarray:
+    """A filter that holds the hashes of all words and pairs with ``least`` occurrences in a language."""
 
     def count(batches: Batches) -> Batches:
         words, sums = _Words(), _Sums()
         for batch in batches:
             for lang, tokens in _parts(batch):
-                paired, hashes = words.pairs(words.row(tokens)[:-1], xxhash.xxh64_intdigest(lang))
+                row, code = words.row(tokens)[:-1], xxhash.xxh64_intdigest(lang)
+                paired, hashes = words.pairs(row, code)
                 sums.add(hashes[paired])
+                sums.add(words.alone(row[:-1], code)[row[:-1] > 0])
                 if sums.size > GRAMS_HELD or len(words) > WORDS_HELD:
                     yield _batch(sums)
                     words, sums = _Words(), _Sums()
         yield _batch(sums)
 
     def _batch(sums: _Sums) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in sums.merged()], ["pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in sums.merged()], ["hash", "n"])
 
-    pairs = text_batches(texts, count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = saved(pairs.where(F.col("n") >= least).select("pair"), "phrase-pairs")
-    bits = max(20, min(FILTER_MOST_BITS, (16 * pairs.count()).bit_length()))
-    return membership(pairs, bits, hashed=True)
+    found = text_batches(texts, count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    found = saved(found.where(F.col("n") >= least).select("hash"), "phrase-frequent")
+    bits = max(20, min(FILTER_MOST_BITS, (64 * found.count()).bit_length()))
+    return membership(found, bits, hashed=True)
 
 
 def grams(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The weighted edges: (lang, w1, w2, w3, n), one occurrence of a row per word of the texts.
 
-    ``w3`` is null where the piece ends or the second pair is rare, ``w2`` too where the first pair is.
+    ``w3`` is null where the piece ends or the second pair is rare, ``w2`` too where the first pair is, and all are
+    where the first word is rare.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), raw_text().alias("raw"))
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_pairs(texts, least))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, least))
 
     def count(batches: Batches) -> Batches:
         filter_bits = shared.value
         words, sums = _Words(), {}
         for batch in batches:
             for lang, tokens in _parts(batch):
-                row = words.row(tokens)
-                paired, hashes = words.pairs(row, xxhash.xxh64_intdigest(lang))
+                row, code = words.row(tokens), xxhash.xxh64_intdigest(lang)
+                paired, hashes = words.pairs(row, code)
                 often = paired & may_hold(filter_bits, hashes)
                 first = row[:-2]
+                known = may_hold(filter_bits, words.alone(first, code))
                 second = np.where(often[:-1], row[1:-1], 0)
                 third = np.where(often[:-1] & often[1:], row[2:], 0)
                 packed = (first << (2 * WORD_BITS)) | (second << WORD_BITS) | third
-                sums.setdefault(lang, _Sums()).add(packed[first > 0])
+                sums.setdefault(lang, _Sums()).add(np.where(known, packed, 0)[first > 0])
                 if len(words) > WORDS_HELD or sum(s.size for s in sums.values()) > GRAMS_HELD:
                     yield from _batches(words, sums)
                     words, sums = _Words(), {}
@@ -185,13 +200,17 @@ def grams(docs: DataFrame, least: int = LEAST) -> DataFrame:
             for start in range(0, values.size, 50_000):
                 part = values[start : start + 50_000]
                 places = [(part >> shift) & mask for shift in (2 * WORD_BITS, WORD_BITS, 0)]
-                columns = [texts.take(pa.array(p, mask=p == 0)) for p in places]
+                first, *others = [texts.take(pa.array(p, mask=(p == 0) & (i > 0))) for i, p in enumerate(places)]
+                gram = pc.binary_join_element_wise(first, *others, b" ", null_handling="skip")
                 langs = pa.array([lang] * part.size, pa.string())
-                yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts[start : start + part.size])], names)
-
-    names = ["lang", "w1", "w2", "w3", "n"]
-    counted = text_batches(texts, count, "lang string, w1 binary, w2 binary, w3 binary, n bigint")
-    summed = saved(counted.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")), "phrase-grams")
+                yield pa.RecordBatch.from_arrays([langs, gram, pa.array(counts[start : start + part.size])], names)
+
+    names = ["lang", "gram", "n"]
+    counted = text_batches(texts, count, "lang string, gram binary, n bigint")
+    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    parts = F.split(F.when(F.length("gram") > 0, F.col("gram").cast("string")), " ")
+    columns = [F.get("parts", F.lit(i)).alias(f"w{i + 1}") for i in range(3)]
+    summed = saved(counted.select("lang", parts.alias("parts"), "n").select("lang", *columns, "n"), "phrase-grams")
     shared.unpersist()
     return summed
 
@@ -202,7 +221,7 @@ def _counted_small(df: DataFrame) -> DataFrame:
 
 def _flows(edges: DataFrame, least: int) -> DataFrame:
     """Nodes with ``least`` occurrences: (lang, w1, w2, flow, f1, f2) with the counts of both words."""
-    words = edges.groupBy("lang", "w1").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    words = edges.where("w1 is not null").groupBy("lang", "w1").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = saved(words, "phrase-words")
     nodes = edges.where("w2 is not null").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("flow"))
     nodes = nodes.where(F.col("flow") >= least)
@@ -293,7 +312,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = 50, most: int
     chains = paths(edges, nodes, least)
     three = chains.select("lang", F.posexplode("weights").alias("i", "a"), "words", "flows", "counts").select(
         "lang",
-        F.transform(F.slice("words", F.col("i") + 1, 3), lambda w: w.cast("string")).alias("words"),
+        F.slice("words", F.col("i") + 1, 3).alias("words"),
         "a",
         F.expr("counts[i]").alias("c1"),
         F.expr("flows[i + 1]").alias("last"),
@@ -307,16 +326,19 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = 50, most: int
     # of each pair, the most frequent phrase that holds it
     held = three.select("lang", "a", F.explode(F.array(F.slice("words", 1, 2), F.slice("words", 2, 2))).alias("words"))
     held = held.groupBy("lang", "words").agg(F.max("a").alias("longer"))
-    words = F.array(F.col("w1").cast("string"), F.col("w2").cast("string"))
-    two = nodes.select("lang", words.alias("words"), F.col("flow").alias("a"), _cut("flow", "f1", "f2", 1).alias("cut"))
+    two = nodes.select("lang", F.array("w1", "w2").alias("words"), F.col("flow").alias("a"), _cut("flow", "f1", "f2", 1).alias("cut"))
     two = two.join(held, ["lang", "words"], "left").where(f"longer is null or 100 * longer < {share} * a").drop("longer")
     found = two.unionByName(three).select(
         "lang", F.array_join("words", " ").alias("phrase"), "a", "cut.l", "cut.r", F.col("cut.score").cast("bigint").alias("score")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    if most is not None:
+        # the best of each part are few, however many phrases a language has
+        found = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART)))
+        apart = Window.partitionBy("lang", "part").orderBy(*order)
+        found = found.withColumn("rank", F.row_number().over(apart)).where(F.col("rank") <= most).drop("rank", "part")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if most is not None:
-        # each task keeps its best before they meet
         ranked = ranked.where(F.col("rank") <= most)
     return ranked.join(_counted_small(totals), "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"

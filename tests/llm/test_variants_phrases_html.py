@@ -167,7 +167,7 @@ def test_a_path_is_one_row(spark):
     docs = spark.createDataFrame(rows, "lang string, text string")
     edges = collocations.grams(docs, 2)
     found = collocations.paths(edges, collocations._flows(edges, 2), 2).collect()
-    texts = {" ".join(w.decode() for w in r.words): r for r in found}
+    texts = {" ".join(r.words): r for r in found}
     # (a, lazy) has two ways out
     assert set(texts) == {"the quick brown fox jumps over a lazy", "a lazy dog", "a lazy cat"}
     long = texts["the quick brown fox jumps over a lazy"]
