@@ -17,6 +17,7 @@ from ragframe.llm.queries import CUT, vocabulary_path
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores CUT or more; it learns from the labels outside the hold-out."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", held_out(F.col("doc_id"), 4, 2))
+    # the score's name may be one of the columns
     scored = quality.score(docs.select(F.struct("*").alias("document"), "text"), model)
     return scored.where(F.col("score") >= CUT).select("document.*")
 

@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ragframe.llm.common import Batches, text_batches
+from ragframe.llm.common import with_text_column
 
 # The pattern that cuts text before merging, and its white space.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -252,10 +251,11 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(batches: Batches) -> Batches:
+    def start():
         coder = Coder(Vocabulary(spec.value))
-        for batch in batches:
-            packed = [coder.encode(text or "") for text in batch.column(1).to_pylist()]
+
+        def coded(texts: pa.Array) -> pa.Array:
+            packed = [coder.encode(text or "") for text in texts.to_pylist()]
             rows = [np.frombuffer(p, "<u4") for p in packed]
             sizes = np.array([r.size for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -266,11 +266,9 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                 pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                 pa.array([coder.decode(r) for r in rows], pa.string()),
             ]
-            names = ["n_tokens", "token_ids", "ids_sha256", "decoded"]
-            bpe = pa.StructArray.from_arrays(columns, names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), bpe], ["row", "bpe"])
-
-    others = docs.drop("bpe")
-    whole = others.select(F.struct("*").alias("row"), F.col("text"))
-    bpe = "struct<n_tokens:bigint,token_ids:array<int>,ids_sha256:string,decoded:string>"
-    return text_batches(whole, run, f"row {others.schema.simpleString()}, bpe {bpe}").select("row.*", "bpe")
+            return pa.StructArray.from_arrays(columns, ["n_tokens", "token_ids", "ids_sha256", "decoded"])
+
+        return coded
+
+    kind = "struct<n_tokens:bigint,token_ids:array<int>,ids_sha256:string,decoded:string>"
+    return with_text_column(docs, "bpe", kind, start)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,9 @@ from ragframe.session import new_path
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Rows per Arrow batch for whole texts, so that a batch of long ones fits a worker.
+# Rows and bytes per Arrow batch for whole texts, so that a batch of long ones fits a worker.
 TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_BYTES = 4 << 20
 
 # Bits of a membership filter: 2**26 bits are 8 MB, whatever the input.
 FILTER_BITS = 26
@@ -42,12 +44,50 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session, which plans read when they run; smaller settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(rows, TEXT_BATCH_ROWS)
+    spark.conf.set(size, TEXT_BATCH_BYTES)
+
+
 def text_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """mapInArrow with batches that are small enough for whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+    _small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def with_text_column(
+    docs: DataFrame, name: str, kind: str, start: Callable[[], Callable[[pa.Array], pa.Array]], text: Column | None = None
+) -> DataFrame:
+    """``docs`` with a column that tasks work out from whole texts; one of that name is replaced.
+
+    Only the texts go to Python and only the column comes back. ``start`` makes a task's function from an Arrow array
+    of texts to one of values.
+    """
+    _small_batches(docs.sparkSession)
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for texts in batches:
+            yield work(texts)
+
+    # not repeatable: a filter on the column must not work it out once more
+    value = run.asNondeterministic()(F.col("text") if text is None else text)
+    return docs.drop(name).withColumn(name, value)
+
+
+def shared(spark: SparkSession, model) -> Callable:
+    """Hand a model of bounded size to all tasks; the result gives it back there.
+
+    Broadcasts name classes by their module. Pickled as tasks are, workers need no package of ours.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def raw_text(name: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit("").cast("binary"))

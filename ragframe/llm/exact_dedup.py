@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragframe.llm.common import Batches, member, membership, raw_text, saved, text_batches
+from ragframe.llm.common import Batches, member, membership, raw_text, saved, text_batches, with_text_column
 
 # A bucket with more bytes of text splits.
 BUCKET_BYTES = 8 << 20
@@ -62,7 +62,8 @@ def mark_exact(docs: DataFrame) -> DataFrame:
     null; of rows that share this id as well (repeated rows) exactly one is kept. Other columns are ignored.
     """
     digest = F.col("text_sha256")
-    joined = _digests(docs.select("doc_id", raw_text().alias("raw")), docs).join(exact_groups(docs), "text_sha256")
+    digests = saved(_with_digest(docs.select("doc_id", "text")).select("doc_id", "text_sha256"), "exact-digests")
+    joined = digests.join(exact_groups(docs), "text_sha256")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     tied = first & (F.col("keep_rows") > 1)
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -75,13 +76,11 @@ def mark_exact(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`mark_exact` does not keep; all columns stay."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     index = exact_groups(docs)
     repeated = index.where("group_size > 1")
     suspects = membership(repeated.select("text_sha256"))
 
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id"), raw_text().alias("raw"))
-    rows = text_batches(whole, _add_digest, f"row {docs.schema.simpleString()}, doc_id {id_type}, text_sha256 string")
+    rows = _with_digest(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("text")
     rows = rows.withColumn("suspect", member(suspects)(F.xxhash64("text_sha256")))
     # texts outside the filter occur once; only the others move
     keep = repeated.select("text_sha256", "keep_rows", "keep_id")
@@ -93,18 +92,16 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _digests(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return text_batches(rows, _add_digest, f"doc_id {id_type}, text_sha256 string")
+def _with_digest(rows: DataFrame) -> DataFrame:
+    """``rows`` with text_sha256, of the normalised ``text``."""
 
+    def start():
+        def digests(texts: pa.Array) -> pa.Array:
+            return pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts.to_pylist()], pa.string())
 
-def _add_digest(batches: Batches) -> Batches:
-    """Replace the last column, raw text, by its digest."""
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        digests = pa.array([hashlib.sha256(normalised(t.as_py())).hexdigest() for t in texts], pa.string())
-        names = [*batch.schema.names[:-1], "text_sha256"]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], digests], names)
+        return digests
+
+    return with_text_column(rows, "text_sha256", "string", start, raw_text())
 
 
 def _combined(docs: DataFrame) -> DataFrame:

@@ -9,16 +9,18 @@ more than ``PENALTY`` times the logarithm of the number of words. The prediction
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import Batches, saved, text_batches
+from ragframe.llm.common import Batches, saved, shared, text_batches, with_text_column
 
 # Hashed n-grams: the counts of a language are BUCKETS numbers, whatever the input.
 BUCKET_BITS = 14
@@ -27,15 +29,15 @@ LONGEST = 3
 SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 3.0
-# Largest set of languages of a document.
-MOST_LANGUAGES = 4
 NO_LANGUAGE = "und"
 WORD_CHARS = 40
 # Words of a text that are looked up at once.
 PIECE_WORDS = 10_000
 
+# Word characters that are neither letters nor decimal digits: numerals like ² or ½.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
 # Letters in a row count as words of so many at most, so one word stays small.
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,{WORD_CHARS}}}")
 
 # Odd numbers of a multiplicative hash over code points.
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +68,10 @@ class Languages:
 
 
 def learn(docs: DataFrame, rest: Column) -> Languages:
-    """n-gram counts of all rows with a language and a text for which ``rest`` (over doc_id) is false."""
+    """n-gram counts of all rows with a language and a text for which ``rest`` (over doc_id) is false.
+
+    Rows that repeat an id count each; texts without a letter add nothing, but their language can still be chosen.
+    """
 
     def count(batches: Batches) -> Batches:
         words: dict[str, Counter] = {}
@@ -96,12 +101,14 @@ def learn(docs: DataFrame, rest: Column) -> Languages:
     rows = docs.where(~rest & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = text_batches(rows, count, "lang string, bucket bigint, n bigint")
     counts = saved(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
-    names = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    table = np.full((BUCKETS, max(1, len(names))), SMOOTHING)
     # languages x BUCKETS numbers at most
-    for i, name in enumerate(names):
-        part = counts.where(F.col("lang") == name).select("bucket", "n").toArrow()
-        table[part.column("bucket").to_numpy(), i] += part.column("n").to_numpy()
+    found = counts.toArrow().combine_chunks()
+    coded = pc.dictionary_encode(found.column("lang")).combine_chunks() if found.num_rows else None
+    names = sorted(coded.dictionary.to_pylist()) if coded else []
+    table = np.full((BUCKETS, max(1, len(names))), SMOOTHING)
+    if coded:
+        place = np.array([names.index(n) for n in coded.dictionary.to_pylist()])
+        table[found.column("bucket").to_numpy(), place[coded.indices.to_numpy()]] += found.column("n").to_numpy()
     return Languages(names, np.log(table / table.sum(axis=0)))
 
 
@@ -154,7 +161,7 @@ def proportions(logs: np.ndarray) -> tuple[np.ndarray, float]:
 def mixture(logs: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The chosen languages of a document, largest part first, and their shares."""
     shares, _ = proportions(logs)
-    order = np.argsort(-shares, kind="stable")[:MOST_LANGUAGES]
+    order = np.argsort(-shares, kind="stable")
     chosen, part, best = order[:1], np.ones(1), logs[:, order[0]].sum()
     for size in range(2, len(order) + 1):
         tried, likelihood = proportions(logs[:, order[:size]])
@@ -171,27 +178,26 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
     ``score`` is the share of the predicted language in the document. Null texts, texts without a letter and models
     without a language give ``und`` and 0. Other columns stay; one called ``language`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    known = shared(docs.sparkSession, languages)
+    kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
 
     def one(text: str | None, reader: Reader) -> tuple:
         logs = reader.likelihoods(text or "")
         if not logs.size:
             return NO_LANGUAGE, 0.0, [], []
         chosen, part = mixture(logs)
-        names = [shared.value.names[i] for i in chosen]
+        names = [reader.languages.names[i] for i in chosen]
         return names[0], float(min(1.0, part[0])), names, part.tolist()
 
-    def run(batches: Batches) -> Batches:
-        reader = Reader(shared.value)
-        for batch in batches:
-            found = [one(t, reader) for t in batch.column(1).to_pylist()]
-            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+    def start():
+        reader = Reader(known())
+
+        def identified(texts: pa.Array) -> pa.Array:
+            found = [one(t, reader) for t in texts.to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            language = pa.StructArray.from_arrays(columns, ["lang_pred", "score", "languages", "shares"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), language], ["row", "language"])
+            return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "languages", "shares"])
+
+        return identified
 
-    others = docs.drop("language")
     kind = "struct<lang_pred:string,score:double,languages:array<string>,shares:array<double>>"
-    whole = others.select(F.struct("*").alias("row"), "text")
-    schema = f"row {others.schema.simpleString()}, language {kind}"
-    return text_batches(whole, run, schema).select("row.*", "language")
+    return with_text_column(docs, "language", kind, start)

@@ -138,12 +138,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(cls, root) for classes that are linked with a smaller one."""
-    pair = f"""transform(sequence(0, {COLLECTIONS - 2}), i -> transform(sequence(i + 1, {COLLECTIONS - 1}),
-        j -> xxhash64(i, j, sub[i], sub[j])))"""
-    keys = classes.select("cls", F.explode(F.flatten(F.expr(pair))).alias("table_key"))
-    shared = keys.groupBy("table_key").agg(F.min("cls").alias("leader"), F.max("cls").alias("most"))
-    shared = saved(shared.where("leader < most").select("table_key", "leader"), "near-buckets")
-    members = saved(keys.join(shared, "table_key"), "near-members")
+    members = _members(classes)
 
     sets = saved(_sets(docs, members.select("cls").distinct(), words), "near-sets")
     pairs = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
@@ -158,6 +153,28 @@ def _components_of_classes(docs: DataFrame, classes: DataFrame, words: int, perc
     return components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("cls").alias("b"))))
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(table_key, cls, leader): the classes of each table key that at least two share, and the smallest of them.
+
+    Two classes share a key only if they share both of its collections, so collections that no other class has are left
+    out before the keys are made; most classes then have none.
+    """
+    numbered = F.transform("sub", lambda value, i: F.struct(i.alias("i"), F.xxhash64(i, value).alias("value")))
+    single = classes.select("cls", F.inline(numbered))
+    common = single.groupBy("value").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
+    common = common.where("least < most").select("value")
+    # at most COLLECTIONS values a class
+    left = single.join(common, "value", "left_semi").groupBy("cls")
+    left = left.agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("sub"))
+    left = saved(left.where("size(sub) > 1"), "near-collections")
+    pair = """transform(sequence(1, size(sub) - 1), j -> transform(sequence(0, j - 1),
+        i -> xxhash64(sub[i].value, sub[j].value)))"""
+    keys = left.select("cls", F.explode(F.flatten(F.expr(pair))).alias("table_key"))
+    met = keys.groupBy("table_key").agg(F.min("cls").alias("leader"), F.max("cls").alias("most"))
+    met = saved(met.where("leader < most").select("table_key", "leader"), "near-buckets")
+    return saved(keys.join(met, "table_key"), "near-members")
+
+
 def _open_classes(members: DataFrame, stars: DataFrame) -> DataFrame:
     """(cls, root) of the classes in buckets that hold several components."""
     rooted = members.select("table_key", "cls").join(stars, "cls", "left")
@@ -177,8 +194,7 @@ def _prefixes(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     tokens = unsettled.join(sets, F.col("cls") == sets["doc_id"])
     # an id may have several sets, and repeated rows have one set several times
-    own = F.xxhash64("shingles").alias("own")
-    tokens = tokens.select("cls", "root", own, F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    tokens = tokens.select("cls", "root", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     spread = tokens.groupBy("shingle").agg(F.count("*").alias("sets"))
     order = Window.partitionBy("cls", "own").orderBy("sets", "shingle")
     ranked = tokens.join(spread, "shingle").withColumn("place", F.dense_rank().over(order))
@@ -207,7 +223,7 @@ def _meeting(tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The full shingle sets of ``ids`` (and of a few others that a filter of bounded size lets through)."""
+    """The full shingle sets of ``ids`` (and of a few others that a filter of bounded size lets through), each with its hash."""
     bits = membership(ids)
 
     def run(batches: Batches) -> Batches:
@@ -216,12 +232,13 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             wanted = may_hold(bits, batch.column(1).to_numpy())
             batch = batch.filter(pa.array(wanted))
             found = [shingles(raw, hashes, words).view(np.int64) for raw in batch.column(2).to_pylist()]
+            own = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in found], pa.int64())
             found = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, found], ["doc_id", "own", "shingles"])
 
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), raw_text().alias("raw"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return text_batches(rows, run, f"doc_id {id_type}, shingles array<bigint>")
+    return text_batches(rows, run, f"doc_id {id_type}, own bigint, shingles array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import Batches, WordRows, labelled_sample, saved, text_batches
+from ragframe.llm.common import Batches, WordRows, labelled_sample, saved, shared, text_batches, with_text_column
 
 # Bound of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 8_000
@@ -115,7 +115,11 @@ def features(text: str, reader: WordRows, vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, rest: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on labelled rows of ``docs`` for which ``rest`` (over doc_id) is false."""
+    """Fit on labelled rows of ``docs`` for which ``rest`` (over doc_id) is false.
+
+    Null texts are left out, empty ones count as a document without features. Rows that repeat an id count each, with
+    the id's label. Without a labelled row every score is 0.5.
+    """
     sample = saved(labelled_sample(docs, labels, label, rest, rows).repartition(GATHERERS), "quality-sample")
     inventory = _inventory(sample)
     vectors = _context_vectors(sample, inventory)
@@ -129,7 +133,7 @@ def _inventory(sample: DataFrame) -> Inventory:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for word, n in Counter(text.split()).items():
-                    found["w" + word.lower()[:60]] += n
+                    found["w" + word.lower()] += n
                     found["s" + shape(word)] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(found.values(), pa.int64())], ["item", "n"])
 
@@ -166,12 +170,12 @@ def _context_vectors(sample: DataFrame, inventory: Inventory) -> np.ndarray:
 
 
 def _training_rows(sample: DataFrame, inventory: Inventory, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shared = sample.sparkSession.sparkContext.broadcast(vectors)
+    known = sample.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Batches) -> Batches:
         reader = inventory.reader()
         for batch in batches:
-            rows = [features(t, reader, shared.value).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
+            rows = [features(t, reader, known.value).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "label"])
 
     found = text_batches(sample.select("text", "label"), run, "x binary, label int").toArrow()
@@ -223,15 +227,16 @@ def _network(x: np.ndarray, y: np.ndarray, inventory: Inventory, vectors: np.nda
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``score`` (replaced if there): probability of label 1. Null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = shared(docs.sparkSession, model)
 
-    def run(batches: Batches) -> Batches:
-        reader, vectors = shared.value.inventory.reader(), shared.value.vectors
-        for batch in batches:
-            x = [features(t or "", reader, vectors) for t in batch.column(1).to_pylist()]
-            p = shared.value.score(np.array(x, np.float64)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["row", "score"])
+    def start():
+        model = known()
+        reader = model.inventory.reader()
+
+        def scored(texts: pa.Array) -> pa.Array:
+            x = [features(t or "", reader, model.vectors) for t in texts.to_pylist()]
+            return pa.array(model.score(np.array(x, np.float64)) if x else [], pa.float64())
+
+        return scored
 
-    others = docs.drop("score")
-    schema = f"row {others.schema.simpleString()}, score double"
-    return text_batches(others.select(F.struct("*").alias("row"), "text"), run, schema).select("row.*", "score")
+    return with_text_column(docs, "score", "double", start)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import Batches, WordRows, labelled_sample, saved, text_batches
+from ragframe.llm.common import Batches, WordRows, labelled_sample, saved, shared, text_batches, with_text_column
 
 # Bound of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 8_000
@@ -34,8 +35,6 @@ BEGINNINGS, ENDING = (4, 5, 6), 3
 
 # A cue is in so many toxic documents, and of its documents this share is toxic.
 CUE_DOCUMENTS, CUE_SHARE = 4, 0.97
-# Most cues that are kept.
-CUES = 50_000
 
 SPAN_CUT = 0.5
 # Rounds over the whole sample, step of a weight, gradient below which a weight's steps are smaller.
@@ -53,10 +52,16 @@ def keys(word: str) -> list[str]:
     return [core, *(core[:n] + "-" for n in BEGINNINGS if len(core) > n)] if core else []
 
 
-def _slots(word: str) -> list[int]:
-    core = keys(word)
-    names = [*core, "-" + core[0][-ENDING:]] if core else ["\x00"]
-    return [xxhash.xxh32_intdigest(n[:60]) % FEATURES for n in names]
+def _slots(words: Iterable[str]) -> np.ndarray:
+    """The features of each word, five at most; FEATURES, which weighs nothing, fills up its row."""
+    slots = []
+    for word in words:
+        core = keys(word)
+        names = [*core, "-" + core[0][-ENDING:]] if core else ["\x00"]
+        slots += map(xxhash.xxh32_intdigest, names)
+        slots += [-1] * (5 - len(names))
+    found = np.array(slots, np.int64).reshape(-1, 5)
+    return np.where(found < 0, FEATURES, found % FEATURES)
 
 
 @dataclass
@@ -132,7 +137,11 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, rest: Column, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on labelled rows of ``docs`` for which ``rest`` (over doc_id) is false."""
+    """Fit on labelled rows of ``docs`` for which ``rest`` (over doc_id) is false.
+
+    Null texts are left out; empty ones count for the document scores only. Rows that repeat an id count each, with the
+    id's label. Without a labelled row all scores are those of the first weights.
+    """
     sample = saved(labelled_sample(docs, labels, label, rest, rows), "toxic-sample")
     return _trained(sample, _cues(sample))
 
@@ -150,31 +159,34 @@ def _cues(sample: DataFrame) -> set[str]:
     counts = text_batches(sample, count, "item string, clean bigint, toxic bigint")
     counts = counts.groupBy("item").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sure = (F.col("toxic") >= CUE_DOCUMENTS) & (F.col("toxic") >= CUE_SHARE * (F.col("clean") + F.col("toxic")))
-    best = counts.where(sure).orderBy(F.desc("toxic"), "item").limit(CUES)
-    return {r["item"] for r in best.select("item").collect()}
+    # words of the bounded sample
+    return {r["item"] for r in counts.where(sure).select("item").collect()}
 
 
 class Words:
     """word -> row of a table with the three weights of its features summed; the table grows with the words seen."""
 
     def __init__(self, field: Field, limit: int = 400_000):
-        self.field, self.limit = field, limit
+        self.weights, self.limit = (field.own, field.before, field.after), limit
         self.table = np.zeros((4096, 3))
-        self.rows = WordRows(self._row, 1 << 60)
+        self.rows: dict[str, int] = {}
 
-    def _row(self, word: str) -> int:
-        row = len(self.rows)
-        if row >= len(self.table):
+    def _add(self, words: list[str]) -> None:
+        first, last = len(self.rows), len(self.rows) + len(words)
+        while last > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        slots = _slots(word)
-        self.table[row] = [w[slots].sum() for w in (self.field.own, self.field.before, self.field.after)]
-        return row
+        slots = _slots(words)
+        self.table[first:last] = np.stack([w[slots].sum(axis=1) for w in self.weights], axis=1)
+        self.rows.update(zip(words, range(first, last), strict=True))
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of all words, words per text, and the table they refer to."""
         if len(self.rows) > self.limit:
             self.rows.clear()
         words = [t.split() for t in texts]
+        new = set().union(*words).difference(self.rows)
+        if new:
+            self._add(list(new))
         sizes = np.array([len(w) for w in words], np.int64)
         rows = np.fromiter((r for w in words for r in map(self.rows.__getitem__, w)), np.int64, int(sizes.sum()))
         return rows, sizes, self.table
@@ -205,7 +217,7 @@ def _sequences(sample: DataFrame, cues: set[str]) -> DataFrame:
     """Whole tagged texts, many a row: features of the words, the tokens' words, tokens per text, the tokens' tags."""
 
     def packed(words: dict[str, int], rows: list[int], sizes: list[int], tags: list[int]) -> pa.RecordBatch:
-        slots = [s for w in words for s in (_slots(w) + [FEATURES] * 5)[:5]]
+        slots = _slots(words).ravel()
         columns = [pa.array([c], pa.list_(k)) for c, k in zip((slots, rows, sizes, tags), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["slots", "rows", "sizes", "tags"])
 
@@ -235,18 +247,17 @@ def _sequences(sample: DataFrame, cues: set[str]) -> DataFrame:
 
 def _summed(sequences: DataFrame, field: Field) -> np.ndarray:
     """Gradient of the log-likelihood over all sequences: own, before, after, transitions, bias."""
-    shared = sequences.sparkSession.sparkContext.broadcast(field)
+    known = shared(sequences.sparkSession, field)
 
     def run(batches: Batches) -> Batches:
-        total = np.zeros(3 * (FEATURES + 1) + 5)
+        field, total = known(), np.zeros(3 * (FEATURES + 1) + 5)
         for batch in batches:
             for i in range(batch.num_rows):
-                total += _gradient(shared.value, *(c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns))
+                total += _gradient(field, *(c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["at", "part"])
 
     got = text_batches(sequences.coalesce(TASKS), run, "at int, part double").toArrow()
-    shared.destroy()
     size = 3 * (FEATURES + 1) + 5
     return np.bincount(got.column("at").to_numpy(), got.column("part").to_numpy(), size)
 
@@ -278,13 +289,14 @@ def _gradient(field: Field, slots: np.ndarray, rows: np.ndarray, sizes: np.ndarr
 
 def _calibrated(sample: DataFrame, field: Field) -> tuple[float, float, float]:
     """Logistic weights of the document features, fitted on the sample's whole texts."""
-    shared = sample.sparkSession.sparkContext.broadcast(field)
+    known = shared(sample.sparkSession, field)
 
     def run(batches: Batches) -> Batches:
-        words = Words(shared.value)
+        field = known()
+        words = Words(field)
         for batch in batches:
             rows, sizes, table = words.read(batch.column(0).to_pylist())
-            p = marginals(token_scores(rows, sizes, table, shared.value.bias), sizes, shared.value.moves)
+            p = marginals(token_scores(rows, sizes, table, field.bias), sizes, field.moves)
             x = document_features(p, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["most", "sum", "label"])
 
@@ -308,16 +320,17 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
     Null texts count as empty. All other columns stay; one called ``toxicity`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    known = shared(docs.sparkSession, field)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Batches) -> Batches:
-        words = Words(shared.value)
-        bias, most, total = shared.value.calibration
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+    def start():
+        field = known()
+        words, (bias, most, total) = Words(field), field.calibration
+
+        def scored(column: pa.Array) -> pa.Array:
+            texts = [t or "" for t in column.to_pylist()]
             rows, sizes, table = words.read(texts)
-            p = marginals(token_scores(rows, sizes, table, shared.value.bias), sizes, shared.value.moves)
+            p = marginals(token_scores(rows, sizes, table, field.bias), sizes, field.moves)
             x = document_features(p, sizes)
             scores = 1 / (1 + np.exp(-(bias + x @ np.array([most, total]))))
             starts = np.cumsum(sizes) - sizes
@@ -325,13 +338,12 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                 offsets(t, p[s : s + n] >= SPAN_CUT) if m >= SPAN_CUT else []
                 for t, s, n, m in zip(texts, starts, sizes, x[:, 0], strict=True)
             ]
-            toxicity = pa.StructArray.from_arrays([pa.array(scores), pa.array(found, spans)], ["score", "spans"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), toxicity], ["row", "toxicity"])
+            return pa.StructArray.from_arrays([pa.array(scores), pa.array(found, spans)], ["score", "spans"])
+
+        return scored
 
-    others = docs.drop("toxicity")
     kind = "struct<score:double,spans:array<struct<start:int,end:int>>>"
-    whole = others.select(F.struct("*").alias("row"), "text")
-    return text_batches(whole, run, f"row {others.schema.simpleString()}, toxicity {kind}").select("row.*", "toxicity")
+    return with_text_column(docs, "toxicity", kind, start)
 
 
 def offsets(text: str, toxic: np.ndarray) -> list[dict]:

@@ -162,3 +162,20 @@ def test_sketch_collisions_follow_similarity():
 
 def test_exact_plan_moves_no_text_of_unique_rows(odd):
     assert exact_dedup.drop_exact(odd.where(F.col("doc_id") < 3)).count() == 1
+
+
+def test_very_long_texts_among_near_copies(spark):
+    """The work on a set follows its size, not its square."""
+    words = [f"w{i}" for i in range(100_000)]
+    rows = {1: " ".join(words)}
+    for i in (2, 3):
+        words[50_000 + i] = f"x{i}"
+        rows[i] = " ".join(words)
+    half = [w if i % 9 else f"y{i}" for i, w in enumerate(words)]
+    rows[4] = " ".join(half)
+    half[::9] = [f"z{i}" for i in range(len(half[::9]))]
+    rows[5] = " ".join(half)
+    rows |= {10 + i: f"short {i} " + "a b c d e f g h i j k l m n o p q r s t u v w x y z" for i in range(3)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(docs, 2).collect()}
+    assert found == brute(rows, 2)

@@ -1,4 +1,8 @@
 import itertools
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -91,3 +95,103 @@ def test_labels_of_held_out_rows_do_not_matter(odd, labels, spark):
         for x in (labels, flipped)
     ]
     assert scores[0] == pytest.approx(scores[1])
+
+
+def test_numerals_are_no_letters(spark):
+    languages = langid.learn(spark.createDataFrame([(1, "le mot", "fr"), (2, "das Wort", "de")], "doc_id long, text string, lang string"), F.lit(False))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["²", "½ 12", "Ⅷ ①", "_", "٣", "mot²", "字", "ª"])], "doc_id long, text string")
+    found = {r.text: r.language.lang_pred for r in langid.identify(docs, languages).collect()}
+    assert [t for t, lang in found.items() if lang == "und"] == ["²", "½ 12", "Ⅷ ①", "_", "٣"]
+    assert found["mot²"] == "fr"
+
+
+def test_mixture_of_six_languages():
+    logs = np.full((60, 8), -12.0)
+    for i in range(6):
+        logs[10 * i : 10 * i + 10, i] = -2
+    chosen, part = langid.mixture(logs)
+    assert sorted(chosen) == list(range(6)) and part == pytest.approx([1 / 6] * 6, abs=0.01)
+
+
+def test_language_counts_equal_plain_python(spark):
+    rows = [(1, "le mot le", "fr"), (2, "Das Wort", "de"), (2, "das", "de"), (3, None, "de"), (4, "x", None), (5, "12", "it")]
+    languages = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(False))
+    assert languages.names == ["de", "fr"]
+    for i, words in enumerate((["das", "wort", "das"], ["le", "mot", "le"])):
+        counts = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for word in words:
+            for buckets, _ in langid.grams([word]):
+                np.add.at(counts, buckets, 1)
+        assert np.allclose(languages.logs[:, i], np.log(counts / counts.sum()))
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(5)
+    width = toxicity.FEATURES + 1
+    weights = [rng.normal(0, 0.3, width) for _ in range(3)]
+    for w in weights:
+        w[-1] = 0
+    field = toxicity.Field(*weights, -0.4, rng.normal(size=(2, 2)), (0.0, 0.0, 0.0))
+    slots = toxicity._slots(["Alpha", "beta,", "c", "--"])
+    rows, sizes = np.array([0, 1, 2, 3, 1, 0]), np.array([4, 2])
+    tags = np.array([0, 1, 1, 0, 0, 1], np.int8)
+    slope = toxicity._gradient(field, slots.ravel(), rows, sizes, tags)
+
+    def likelihood(field):
+        table = np.stack([w[slots].sum(axis=1) for w in (field.own, field.before, field.after)], axis=1)
+        scores, at, total = toxicity.token_scores(rows, sizes, table, field.bias), 0, 0.0
+        for n in sizes:
+            value = {
+                t: sum(scores[at + i] for i in range(n) if t[i]) + sum(field.moves[a, b] for a, b in itertools.pairwise(t))
+                for t in itertools.product((0, 1), repeat=int(n))
+            }
+            total += value[tuple(tags[at : at + n])] - np.logaddexp.reduce(list(value.values()))
+            at += n
+        return total
+
+    def moved(part, place, by):
+        parts = [field.own.copy(), field.before.copy(), field.after.copy(), field.bias, field.moves.copy()]
+        if part == 3:
+            parts[3] += by
+        else:
+            parts[part].reshape(-1)[place] += by
+        return likelihood(toxicity.Field(*parts, field.calibration))
+
+    for part in range(3):
+        for place in {int(s) for s in slots.ravel() if s < toxicity.FEATURES}:
+            near = (moved(part, place, 1e-5) - moved(part, place, -1e-5)) / 2e-5
+            assert slope[part * width + place] == pytest.approx(near, abs=1e-6)
+    for place in range(4):
+        near = (moved(4, place, 1e-5) - moved(4, place, -1e-5)) / 2e-5
+        assert slope[-5 + place] == pytest.approx(near, abs=1e-6)
+    assert slope[-1] == pytest.approx((moved(3, 0, 1e-5) - moved(3, 0, -1e-5)) / 2e-5, abs=1e-6)
+
+
+def test_words_in_bulk_equal_single_ones():
+    rng = np.random.default_rng(6)
+    field = toxicity.Field(*(rng.normal(size=toxicity.FEATURES + 1) for _ in range(3)), 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0))
+    for w in (field.own, field.before, field.after):
+        w[-1] = 0
+    words = toxicity.Words(field)
+    texts = ["one Two, three one", "", "two one " + "x" * 200, "--"]
+    rows, sizes, table = words.read(texts)
+    assert sizes.tolist() == [4, 0, 3, 1]
+    for row, word in zip(rows, " ".join(texts).split(), strict=True):
+        slots = [s for s in toxicity._slots([word])[0] if s < toxicity.FEATURES]
+        assert np.allclose(table[row], [w[slots].sum() for w in (field.own, field.before, field.after)])
+
+
+def test_models_reach_workers_without_the_package(tmp_path):
+    """Tasks of a session that was started elsewhere do not find the package on their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import __spark_entry__ as entry
+from ragframe.session import local_session
+spark = local_session("elsewhere", "2")
+for name in ("op1_toxicity", "op5_quality", "op8_langid"):
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == 200
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
