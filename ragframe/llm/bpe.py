@@ -3,8 +3,7 @@
 For every prefix of a word exactly one token can be the last one of its encoding: a vocabulary token that is a suffix of
 the prefix, such that the last token of the rest and this token stay two tokens when they meet. An automaton over the
 vocabulary gives all tokens that are suffixes of a prefix, the longest first; a pair test, remembered per pair,
-decides; back-pointers from the end give the ids. Words with a common beginning share its prefixes: they are nodes of a
-tree, and each is worked out once.
+decides; back-pointers from the end give the ids.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ WORD_END = "</w>"
 # White space to str.split() only.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
-# Entries that the memories of pieces, pairs and prefixes hold; longer pieces are worked out each time.
-PIECES, PAIRS, PREFIXES, PIECE_CHARS = 400_000, 1_000_000, 1_000_000, 80
+# Entries that the memories of pieces and pairs hold; longer pieces are worked out each time.
+PIECES, PAIRS, PIECE_CHARS = 300_000, 400_000, 80
 
 NEVER = 1 << 60
 
@@ -110,12 +109,6 @@ class Vocabulary:
         self.stays: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self._new_tree()
-
-    def _new_tree(self) -> None:
-        # node -> last token, node of the rest, state of the automaton; node 0 is the empty prefix
-        self.child: dict[int, int] = {}
-        self.last, self.rest, self.state = [-1], [0], [0]
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at a token's left (0) or right (1) edge while it is built: (piece, rank that ends it)."""
@@ -167,39 +160,30 @@ class Vocabulary:
         """The ids of one piece of text between cuts."""
         symbols = list(word.encode())
         symbols[-1] += 256
-        if len(self.last) >= PREFIXES:
-            self._new_tree()
-        child, node, path = self.child.get, 0, [0]
-        for symbol in symbols:
-            key = node << 9 | symbol
-            node = child(key)
-            if node is None:
-                node = self.child[key] = self._extend(path, symbol)
-            path.append(node)
+        matches, found, pairs, state = self.matches, self.matches.found, self.pairs, 0
+        # of each prefix, the last token and where it starts; the empty prefix first
+        last, starts = [-1], [0]
+        for end, symbol in enumerate(symbols, 1):
+            following = matches.goto[state].get(symbol)
+            state = matches.step(state, symbol) if following is None else following
+            for token, size in found[state]:
+                start = end - size
+                if not start:
+                    fits = self.whole(token)
+                else:
+                    fits = pairs.get(last[start] << 20 | token)
+                    if fits is None:
+                        fits = self.fits(last[start], token)
+                if fits:
+                    break
+            last.append(token)
+            starts.append(start)
         out = []
-        while node:
-            out.append(self.last[node])
-            node = self.rest[node]
+        while end:
+            out.append(last[end])
+            end = starts[end]
         return out[::-1]
 
-    def _extend(self, path: list[int], symbol: int) -> int:
-        """Add a prefix, one symbol longer than the one whose prefixes are ``path``; returns its node."""
-        state = self.matches.step(self.state[path[-1]], symbol)
-        for token, size in self.matches.found[state]:
-            rest = path[-size]
-            if not rest:
-                fits = self.whole(token)
-            else:
-                fits = self.pairs.get(self.last[rest] << 20 | token)
-                if fits is None:
-                    fits = self.fits(self.last[rest], token)
-            if fits:
-                break
-        self.last.append(token)
-        self.rest.append(rest)
-        self.state.append(state)
-        return len(self.last) - 1
-
 
 class Coder(dict):
     """Text <-> ids. As a dict: a piece of text without white space -> its ids as little-endian 32-bit numbers.

@@ -148,10 +148,8 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def member(bits: np.ndarray):
     """:func:`may_hold` as a column function of an xxhash64 value."""
 
-    @F.pandas_udf(T.BooleanType())
-    def check(hashes):
-        import pandas as pd
-
-        return pd.Series(may_hold(bits, hashes.to_numpy()))
+    @F.arrow_udf(T.BooleanType())
+    def check(hashes: pa.Array) -> pa.Array:
+        return pa.array(may_hold(bits, hashes.to_numpy()))
 
     return check

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragframe.llm.common import Batches, member, membership, raw_text, saved, text_batches, with_text_column
+from ragframe.llm.common import Batches, may_hold, membership, raw_text, saved, text_batches, with_text_column
 
 # A bucket with more bytes of text splits.
 BUCKET_BYTES = 8 << 20
@@ -26,11 +26,14 @@ BUCKET_BYTES = 8 << 20
 # BUCKET_BYTES and are still read as a sorted stream.
 MAX_DEPTH = 18
 
-# A scan task hands on its merged entries when it holds this much text.
-COMBINE_BYTES = 64 << 20
+# A scan task hands on its merged entries when it holds this much text, so many at once.
+COMBINE_BYTES, COMBINE_ROWS = 16 << 20, 1_000
 
 KEY_BITS = 63
 
+# Hexadecimal digits of a digest that its place in a membership filter follows from.
+HEAD_DIGITS = 15
+
 
 def normalised(raw: bytes) -> bytes:
     """Every run of ASCII white space becomes one space."""
@@ -62,7 +65,7 @@ def mark_exact(docs: DataFrame) -> DataFrame:
     null; of rows that share this id as well (repeated rows) exactly one is kept. Other columns are ignored.
     """
     digest = F.col("text_sha256")
-    digests = saved(_with_digest(docs.select("doc_id", "text")).select("doc_id", "text_sha256"), "exact-digests")
+    digests = saved(_with_digest(docs.select("doc_id", "text")).select("doc_id", "digest.text_sha256"), "exact-digests")
     joined = digests.join(exact_groups(docs), "text_sha256")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     tied = first & (F.col("keep_rows") > 1)
@@ -78,10 +81,10 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`mark_exact` does not keep; all columns stay."""
     index = exact_groups(docs)
     repeated = index.where("group_size > 1")
-    suspects = membership(repeated.select("text_sha256"))
-
-    rows = _with_digest(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("text")
-    rows = rows.withColumn("suspect", member(suspects)(F.xxhash64("text_sha256")))
+    head = F.conv(F.substring("text_sha256", 1, HEAD_DIGITS), 16, 10).cast("bigint")
+    suspects = membership(repeated.select(head.alias("head")), hashed=True)
+    rows = _with_digest(docs.select(F.struct("*").alias("row"), "doc_id", "text"), suspects)
+    rows = rows.select("row", "doc_id", "digest.*")
     # texts outside the filter occur once; only the others move
     keep = repeated.select("text_sha256", "keep_rows", "keep_id")
     known = rows.where("suspect").join(keep, "text_sha256", "left")
@@ -92,16 +95,21 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _with_digest(rows: DataFrame) -> DataFrame:
-    """``rows`` with text_sha256, of the normalised ``text``."""
+def _with_digest(rows: DataFrame, suspects: np.ndarray | None = None) -> DataFrame:
+    """``rows`` with ``digest``: text_sha256 of the normalised ``text``, and whether ``suspects`` may hold its head."""
 
     def start():
         def digests(texts: pa.Array) -> pa.Array:
-            return pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts.to_pylist()], pa.string())
+            found = [hashlib.sha256(normalised(t)).hexdigest() for t in texts.to_pylist()]
+            if suspects is None:
+                held = np.zeros(len(found), bool)
+            else:
+                held = may_hold(suspects, np.array([int(d[:HEAD_DIGITS], 16) for d in found], np.int64))
+            return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(held)], ["text_sha256", "suspect"])
 
         return digests
 
-    return with_text_column(rows, "text_sha256", "string", start, raw_text())
+    return with_text_column(rows, "digest", "struct<text_sha256:string,suspect:boolean>", start, raw_text())
 
 
 def _combined(docs: DataFrame) -> DataFrame:
@@ -112,20 +120,20 @@ def _combined(docs: DataFrame) -> DataFrame:
         held: dict[bytes, list] = {}
         size, kind = 0, None
 
-        def batch_of() -> pa.RecordBatch:
-            keys = [hashlib.sha256(body) for body in held]
-            values = list(held.values())
-            return pa.RecordBatch.from_arrays(
-                [
+        def merged() -> Batches:
+            bodies = list(held)
+            for start in range(0, len(bodies), COMBINE_ROWS):
+                part = bodies[start : start + COMBINE_ROWS]
+                keys = [hashlib.sha256(body) for body in part]
+                values = [held.pop(body) for body in part]
+                columns = [
                     pa.array([int.from_bytes(k.digest()[:8], "big") >> (64 - KEY_BITS) for k in keys], pa.int64()),
                     pa.array([k.hexdigest() for k in keys], pa.string()),
-                    pa.array(list(held), pa.binary()),
-                    pa.array([v[0] for v in values], kind),
-                    pa.array([v[1] for v in values], pa.int64()),
-                    pa.array([v[2] for v in values], pa.int64()),
-                ],
-                ["hash_key", "text_sha256", "body", "keep_id", "keep_rows", "group_size"],
-            )
+                    pa.array(part, pa.binary()),
+                    *(pa.array([v[i] for v in values], t) for i, t in enumerate((kind, pa.int64(), pa.int64()))),
+                ]
+                names = ["hash_key", "text_sha256", "body", "keep_id", "keep_rows", "group_size"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             kind = batch.column(0).type
@@ -137,10 +145,9 @@ def _combined(docs: DataFrame) -> DataFrame:
                 else:
                     _merge(entry, doc_id, 1, 1)
             if size >= COMBINE_BYTES:
-                yield batch_of()
-                held, size = {}, 0
-        if held:
-            yield batch_of()
+                yield from merged()
+                size = 0
+        yield from merged()
 
     schema = f"hash_key bigint, text_sha256 string, body binary, keep_id {id_type}, keep_rows bigint, group_size bigint"
     return text_batches(docs.select("doc_id", raw_text().alias("raw")), combine, schema)
@@ -197,11 +204,9 @@ def _directory(entries: DataFrame) -> tuple[np.ndarray, int]:
 def _owner(owner_of: np.ndarray):
     shift = KEY_BITS - (int(owner_of.size).bit_length() - 1)
 
-    @F.pandas_udf(T.IntegerType())
-    def place(keys):
-        import pandas as pd
-
-        return pd.Series(owner_of[keys.to_numpy() >> shift])
+    @F.arrow_udf(T.IntegerType())
+    def place(keys: pa.Array) -> pa.Array:
+        return pa.array(owner_of[keys.to_numpy() >> shift])
 
     return place
 

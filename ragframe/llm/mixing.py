@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.llm.common import WORD, saved
+from ragframe.settings import BROADCAST_ROWS
 
 # Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -59,8 +60,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return ranked.select("source", "rank", "source_size", target.alias("target"))
 
 
-def _queued(docs: DataFrame) -> DataFrame:
-    """Every document with its place in its source's queue, and how often the mix takes it."""
+def _queued(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document with its place in its source's queue and how often the mix takes it, and the sources' targets."""
     sized = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text")).alias("h")
     )
@@ -79,7 +80,7 @@ def _queued(docs: DataFrame) -> DataFrame:
     sent = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     queued = sized.join(blocks, ["rank", "block"]).withColumn("sent", sent)
     queued = saved(queued.drop("block", "before"), "mix-queue")
-    return queued.withColumn("times", _times(_cutoff(queued)))
+    return queued.withColumn("times", _times(_cutoff(queued))), targets
 
 
 def _finish(copy: Column) -> Column:
@@ -126,7 +127,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Null texts have no words; null sources are one source, the last. Documents without words are never taken. Rows
     that are equal in all three columns queue one behind the other. Other columns are ignored.
     """
-    queued = _queued(docs)
+    queued, _ = _queued(docs)
     return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -135,12 +136,19 @@ def take_mix(docs: DataFrame) -> DataFrame:
 
     Rows that are equal in doc_id, source and text are taken as often as the one of them taken most.
     """
-    times = _queued(docs).groupBy("h", "rank").agg(F.max("times").alias("times")).where("times > 0")
-    # the key holds id and text; the source only tells apart equal ones
-    times = times.groupBy("h").agg(F.max("times").alias("times"))
+    queued, targets = _queued(docs)
+    # later in a queue means taken less often, so the last key that is taken so often says it for the whole source
+    most = [F.max(F.when(F.col("times") > i, F.col("h"))).alias(f"upto_{i}") for i in range(MOST_COPIES)]
+    limits = queued.where("times > 0").groupBy("rank").agg(*most)
+    limits = saved(limits.join(targets.select("rank", F.col("source").alias("of")), "rank").drop("rank"), "mix-limits")
+    if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        limits = F.broadcast(limits)
     key = shuffle_key(F.col("doc_id"), F.col("text"))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("h")).join(times, "h")
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+    rows = docs.where(word_count(F.col("text")) > 0).select(F.struct("*").alias("row"), key.alias("h"))
+    rows = rows.join(limits, F.col("row.source").eqNullSafe(F.col("of")))
+    times = sum((F.coalesce(F.col("h") <= F.col(f"upto_{i}"), F.lit(False)).cast("int") for i in range(MOST_COPIES)), F.lit(0))
+    rows = rows.select("row", F.filter(F.sequence(F.lit(1), F.lit(MOST_COPIES)), lambda i: i <= times).alias("copies"))
+    return rows.select("row", F.explode("copies")).select("row.*")
 
 
 ORACLE = """

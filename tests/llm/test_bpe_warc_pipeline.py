@@ -43,7 +43,7 @@ def test_words_equal_the_library(library):
 
 
 def test_memories_may_be_emptied(library, monkeypatch):
-    for name in ("PIECES", "PAIRS", "PREFIXES"):
+    for name in ("PIECES", "PAIRS"):
         monkeypatch.setattr(bpe, name, 20)
     coder = bpe.Coder(bpe.Vocabulary(open(vocabulary_path(), encoding="utf-8").read()))
     text = "The tokens of many different words are forgotten and found again, words and tokens."
