@@ -2,10 +2,13 @@
 
 Thresholds are not fixed: each rule's measure is summarised per language and source by a quantile sketch, a histogram
 over logarithmic bins in the manner of DDSketch. Sketches merge by adding counts, so those of the sources give that of
-their language, and those of the languages the whole. A measure fails beyond the upper quartile plus ``FENCE`` times
-the distance between the quartiles (which counts as ``FLOOR`` of the rule at least), and for two-sided rules below the
-lower one as well. A group with fewer than ``LEAST_ROWS`` documents takes its language's thresholds, and a language
-with fewer those of the whole table.
+their language, and those of the languages the whole. A measure fails beyond the 0.9-quantile plus ``FENCE`` times its
+distance from the median, and for two-sided rules below the 0.1-quantile in the same way. Only where both are equal, as
+in a group whose documents hardly ever repeat a line, a ``MARGIN`` of the rule takes the distance's place.
+
+A group with fewer than ``LEAST_ROWS`` documents takes its language's thresholds, and a language with fewer those of the
+whole table. So does a group whose own quantiles lie beyond those thresholds: where more than a tenth is junk, junk does
+not set the limit.
 """
 
 from __future__ import annotations
@@ -19,19 +22,19 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WINDOW = 3
 
-# Relative width of the bins; a quantile is off by less than 2 %.
-GAMMA = 1.04
+# Relative width of the bins; a quantile is off by less than half of it.
+GAMMA = 1.01
 # Measures below this share the first bin.
 SMALLEST = 1e-4
 
-FENCE, LEAST_ROWS = 6.0, 50
+FENCE, LEAST_ROWS = 12.0, 50
 
-# rule -> (measure over the base columns, least distance between the quartiles, whether small values fail too)
+# rule -> (measure over the base columns, margin where the quantiles are equal, whether small values fail too)
 RULES = {
-    "symbols": ("n_symbols / word_chars", 0.005, False),
-    "lines": ("n_dup_lines / n_words", 0.005, False),
-    "repeats": ("n_repeat_words / n_words", 0.06, False),
-    "length": ("word_chars / n_words", 0.4, True),
+    "symbols": ("n_symbols / word_chars", 0.03, False),
+    "lines": ("n_dup_lines / n_words", 0.03, False),
+    "repeats": ("n_repeat_words / n_words", 0.3, False),
+    "length": ("word_chars / n_words", 2.0, True),
 }
 
 
@@ -129,31 +132,43 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(bins: DataFrame) -> DataFrame:
-    """(level, lang, source, rows, limits): per rule the least and the largest value that passes."""
+    """(level, lang, source, rows, one struct per rule): the least and most that pass, and the quantiles low and high."""
     group = ["level", "lang", "source", "rule"]
     upto = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.withColumns({"upto": F.sum("n").over(upto), "rows": F.sum("n").over(Window.partitionBy(*group))})
-    # the middle of the bin in which the quartile lies
+    # the middle of the bin in which the quantile lies
     value = F.pow(F.lit(GAMMA), F.col("bin")) * (2 / (1 + GAMMA))
 
-    def quartile(q: int) -> Column:
-        return F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), value))
+    def quantile(tenths: int) -> Column:
+        return F.min(F.when(10 * F.col("upto") >= tenths * F.col("rows"), value))
 
-    found = ranked.groupBy(*group, "rows").agg(quartile(1).alias("low"), quartile(3).alias("high"))
-    floor, below = F.lit(0.0), F.lit(False)
+    found = ranked.groupBy(*group, "rows").agg(quantile(1).alias("low"), quantile(5).alias("middle"), quantile(9).alias("high"))
+    margin, below = F.lit(0.0), F.lit(False)
     for name, (_, least, two_sided) in RULES.items():
-        floor = F.when(F.col("rule") == name, F.lit(least)).otherwise(floor)
+        margin = F.when(F.col("rule") == name, F.lit(least)).otherwise(margin)
         below = F.when(F.col("rule") == name, F.lit(two_sided)).otherwise(below)
-    room = F.greatest(F.col("high") - F.col("low"), floor) * FENCE
+
+    def room(distance: Column) -> Column:
+        return F.when(distance > 0, distance * FENCE).otherwise(margin)
+
+    least = F.col("low") - room(F.col("middle") - F.col("low"))
     limit = F.struct(
-        F.when(below, F.col("low") - room).otherwise(F.lit(float("-inf"))).alias("least"),
-        (F.col("high") + room).alias("most"),
+        F.when(below, least).otherwise(F.lit(float("-inf"))).alias("least"),
+        (F.col("high") + room(F.col("high") - F.col("middle"))).alias("most"),
+        "low",
+        "high",
     )
     found = found.withColumn("limit", limit)
     per_rule = [F.max(F.when(F.col("rule") == name, F.col("limit"))).alias(name) for name in RULES]
     return found.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *per_rule)
 
 
+def _trusted(own: Column, wider: Column) -> Column:
+    """A group's limits of a rule, or the wider group's where it has none or its quantiles lie beyond those."""
+    within = (own["high"] <= wider["most"]) & (own["low"] >= wider["least"])
+    return F.when(own.isNotNull() & (wider.isNull() | within), own).otherwise(wider)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, lang, source, text): the base columns, base_failed, failed_rules, kept.
 
@@ -175,16 +190,13 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = measured.join(language, same_language, "left").join(source, same_source, "left")
     # the limits of the whole table are one row
     default = whole.first()
-    if default is not None:
-        fallback = F.struct(
-            *[F.struct(F.lit(v["least"]).alias("least"), F.lit(v["most"]).alias("most")).alias(n) for n, v in default[0].asDict().items()]
-        )
-        limit = F.coalesce("limits_2", "limits_1", fallback)
-    else:
-        limit = F.coalesce("limits_2", "limits_1")
-    joined = joined.withColumn("limit", limit)
+    for name in RULES:
+        own, wider = F.col(f"limits_2.{name}"), F.col(f"limits_1.{name}")
+        if default is not None:
+            wider = _trusted(wider, F.struct(*[F.lit(v).alias(k) for k, v in default[0][name].asDict().items()]))
+        joined = joined.withColumn(f"limit_{name}", _trusted(own, wider))
     failed = [
-        F.when(~F.expr(measure).between(F.col(f"limit.{name}.least"), F.col(f"limit.{name}.most")), F.lit(name))
+        F.when(~F.expr(measure).between(F.col(f"limit_{name}.least"), F.col(f"limit_{name}.most")), F.lit(name))
         for name, (measure, *_) in RULES.items()
     ]
     bad = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*failed)))

@@ -1,8 +1,10 @@
 """WARC archives: a Spark data source that writes and reads them, and the deduplicating writer of web pages.
 
-A file is a sequence of gzip members, one per record. The reader plans files as partitions and takes filters on
-``warc_type`` and on header columns: a record's headers are parsed first, and only a record that passes them, in a
-read that wants payloads, has its body decoded. Tasks write files of their own names; the commit lists those of
+A file is a sequence of gzip members, one per record. The reader plans files as partitions and decides equality filters
+on header columns before a payload is decoded: a record's headers are parsed first, and only a record that passes them,
+in a read that wants payloads, has its body decoded. Filters come as options of one read (Spark keeps a reader with
+the DataFrame, so filters it had taken over in one plan would hold in every later one); filters on the DataFrame push
+nothing down and are right as well. Tasks write files of their own names; the commit lists those of
 successful tasks in a manifest, so attempts that were lost or repeated leave nothing that is read.
 """
 
@@ -13,11 +15,12 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +29,11 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    Filter,
-    In,
     InputPartition,
     WriterCommitMessage,
 )
 
-from ragframe.llm.common import Batches, raw_text, saved, text_batches
+from ragframe.llm.common import Batches, may_hold, membership, raw_text, saved, text_batches
 from ragframe.session import new_path
 
 VERSION = b"WARC/1.1"
@@ -41,7 +41,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 HEADER_BYTES = 4 << 10
-NO_ID = "none"
+# Leading bytes of a digest that its place in a membership filter follows from.
+HEAD_BYTES = 7
 
 # column -> record header it is read from; filters on these are decided before a payload is decoded
 HEADERS = {
@@ -49,12 +50,13 @@ HEADERS = {
     "record_id": "WARC-Record-ID",
     "target_uri": "WARC-Target-URI",
     "payload_digest": "WARC-Payload-Digest",
-    "refers_to": "WARC-Refers-To",
+    "refers_to": "X-Refers-To-Page-Id",
     "page_id": "X-Page-Id",
     "payload_length": "X-Payload-Length",
 }
 READ_SCHEMA = ", ".join(f"{name} string" for name in HEADERS) + ", payload binary"
-# Text of a header that may hold anything: kept reversible and on one line.
+# Columns that may hold any text, percent-encoded in their headers; a null one has no header.
+ENCODED = ("target_uri", "refers_to", "page_id")
 SAFE = "!#$&'()*+,/:;=?@[]-._~"
 
 
@@ -63,8 +65,15 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def encoded(value) -> str | None:
+    """A header's text: on one line and reversible; None for null."""
+    return None if value is None else quote(str(value), safe=SAFE)
+
+
 def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+    """The id of a page's record; pages without an id share one."""
+    name = "no page" if page_id is None else f"page:{encoded(page_id)}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def record(headers: dict[str, str], block: bytes) -> bytes:
@@ -79,7 +88,10 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class WarcDataSource(DataSource):
-    """``format("warc")``. Option ``path``: a folder; option ``payload``: "false" leaves all payloads undecoded."""
+    """``format("warc")``. Option ``path``: a folder; option ``payload``: "false" leaves all payloads undecoded.
+
+    Option ``wanted``: JSON of column -> list of values; records with other values are passed over by their headers.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -89,7 +101,8 @@ class WarcDataSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
+        wanted = json.loads(self.options.get("wanted", "{}"))
+        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", wanted)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -144,38 +157,29 @@ def page_record(row: dict) -> bytes:
     """The record of one page row."""
     revisit = row["warc_type"] == "revisit"
     body = row["payload"] or b""
-    page = NO_ID if row["page_id"] is None else quote(str(row["page_id"]), safe=SAFE)
     headers = {
         "WARC-Type": row["warc_type"],
-        "WARC-Record-ID": record_id(page),
+        "WARC-Record-ID": record_id(row["page_id"]),
         "WARC-Date": row["date"],
-        "WARC-Target-URI": quote(row["target_uri"] or "", safe=SAFE),
+        "WARC-Target-URI": encoded(row["target_uri"]),
         "WARC-Payload-Digest": f"sha1:{row['digest']}",
         "Content-Type": "application/http; msgtype=response",
-        "X-Page-Id": page,
+        "X-Page-Id": encoded(row["page_id"]),
         "X-Payload-Length": str(row["length"]),
     }
     if revisit:
         headers["WARC-Profile"] = REVISIT_PROFILE
-        headers["WARC-Refers-To"] = record_id(quote(str(row["refers_to"]), safe=SAFE))
-        headers["X-Refers-To-Page-Id"] = quote(str(row["refers_to"]), safe=SAFE)
+        headers["WARC-Refers-To"] = record_id(row["refers_to"])
+        headers["X-Refers-To-Page-Id"] = encoded(row["refers_to"])
+    headers = {name: value for name, value in headers.items() if value is not None}
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['length']}\r\n\r\n"
     return record(headers, block.encode() + (b"" if revisit else body))
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
+    def __init__(self, path: str, payload: bool, wanted: dict[str, list]):
         self.path, self.payload = path, payload
-        self.wanted: dict[str, set] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and lists on header columns are decided here; the rest is left to Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute[0] in HEADERS:
-                values = set(f.value) if isinstance(f, In) else {f.value}
-                self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
-            else:
-                yield f
+        self.wanted = {column: set(values) for column, values in wanted.items()}
 
     def partitions(self) -> list[ArchiveFile]:
         system, root = _place(self.path)
@@ -194,13 +198,14 @@ class WarcReader(DataSourceReader):
         with system.open_input_stream(partition.path, compression=None) as stream:
             for head, body in _members(stream):
                 headers = parse_headers(head)
+                # the row as it is returned, so that values are compared with what a filter would see
                 row = {c: headers.get(name) for c, name in HEADERS.items()}
+                row |= {c: unquote(row[c]) for c in ENCODED if row[c] is not None}
                 if any(row[c] not in values for c, values in self.wanted.items()):
                     continue
                 payload = None
                 if self.payload and row["warc_type"] == "response":
                     payload = body().partition(b"\r\n\r\n")[2]
-                row["refers_to"] = headers.get("X-Refers-To-Page-Id")
                 yield (*row.values(), payload)
 
 
@@ -257,14 +262,13 @@ def _members(stream) -> Iterator[tuple[bytes, object]]:
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
 def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) to archives in ``path``.
 
-    Null html is an empty payload, a null url an empty address. Of equal payloads of at least ``least_bytes`` bytes the
+    Null html is an empty payload; null ids and urls have no header and come back as null. Of equal payloads of at least ``least_bytes`` bytes the
     smallest page_id (a null one only if all are) has the response and the others are revisits of it; rows that repeat
     this id are responses as well. Other columns are ignored.
     """
@@ -272,21 +276,36 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     id_type = pages.schema["page_id"].dataType.simpleString()
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def digested(batches: Batches) -> Batches:
-        for batch in batches:
-            payloads = [p or b"" for p in batch.column("payload").to_pylist()]
-            digests = pa.array([payload_digest(p) for p in payloads], pa.string())
-            strong = pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary())
-            sizes = pa.array([len(p) for p in payloads], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, digests, sizes, strong], [*batch.schema.names, "digest", "length", "strong"]
-            )
-
-    rows = pages.select("page_id", F.col("url").cast("string").alias("target_uri"), raw_text("html").alias("payload"))
-    schema = f"page_id {id_type}, target_uri string, payload binary, digest string, length bigint, strong binary"
-    rows = text_batches(rows, digested, schema)
-    firsts = rows.where(F.col("length") >= least_bytes).groupBy("strong").agg(F.min("page_id").alias("first"))
-    rows = rows.join(saved(firsts, "warc-firsts"), "strong", "left")
+    def digested(suspects: np.ndarray | None) -> Callable[[Batches], Batches]:
+        """Adds digests, and whether ``suspects`` may hold the payload's."""
+
+        def run(batches: Batches) -> Batches:
+            for batch in batches:
+                payloads = [p or b"" for p in batch.column("payload").to_pylist()]
+                strong = [hashlib.sha256(p).digest() for p in payloads]
+                heads = np.array([int.from_bytes(s[:HEAD_BYTES], "big") for s in strong], np.int64)
+                held = np.zeros(len(strong), bool) if suspects is None else may_hold(suspects, heads)
+                columns = [
+                    pa.array([payload_digest(p) for p in payloads], pa.string()),
+                    pa.array([len(p) for p in payloads], pa.int64()),
+                    pa.array(strong, pa.binary()),
+                    pa.array(held),
+                ]
+                names = [*batch.schema.names, "digest", "length", "strong", "suspect"]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+        return run
+
+    pages = pages.select("page_id", F.col("url").cast("string").alias("target_uri"), raw_text("html").alias("payload"))
+    schema = f"page_id {id_type}, target_uri string, payload binary, digest string, length bigint, strong binary, suspect boolean"
+    firsts = text_batches(pages, digested(None), schema).where(F.col("length") >= least_bytes).groupBy("strong")
+    firsts = firsts.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("records"))
+    firsts = saved(firsts.where("records > 1").select("strong", "first"), "warc-firsts")
+    head = F.conv(F.hex(F.substring("strong", 1, HEAD_BYTES)), 16, 10).cast("bigint")
+    rows = text_batches(pages, digested(membership(firsts.select(head.alias("head")), hashed=True)), schema)
+    # digests outside the filter occur once; only the records of the others move
+    alone = rows.where("not suspect").withColumn("first", F.lit(None).cast(id_type))
+    rows = rows.where("suspect").join(firsts, "strong", "left").unionByName(alone)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select(
         F.when(again, "revisit").otherwise("response").alias("warc_type"),
@@ -301,10 +320,18 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows.write.format("warc").mode("append").option("path", path).save()
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records below ``path``: header columns as text, and the payload of responses."""
+def read_archives(spark: SparkSession, path: str, payload: bool = True, **wanted) -> DataFrame:
+    """The records below ``path``: header columns as text, and the payload of responses.
+
+    ``wanted`` names header columns and the value, or list of values, that records must have there; others are passed
+    over before their payload is decoded.
+    """
+    if unknown := wanted.keys() - HEADERS.keys():
+        raise ValueError(f"no header columns: {sorted(unknown)}")
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    lists = {c: [str(v) for v in (values if isinstance(values, list | tuple | set) else [values])] for c, values in wanted.items()}
+    reader = spark.read.format("warc").option("path", path).option("payload", str(payload).lower())
+    return reader.option("wanted", json.dumps(lists)).load()
 
 
 def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -329,10 +356,10 @@ def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
                 ["page_id", "payload_bytes", "payload_digest"],
             )
 
-    responses = read_archives(spark, path).where("warc_type = 'response'").select("page_id", "payload_digest", "payload")
+    responses = read_archives(spark, path, warc_type="response").select("page_id", "payload_digest", "payload")
     responses = text_batches(responses, measured, "page_id string, payload_bytes bigint, payload_digest string")
     responses = responses.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("string")})
-    revisits = read_archives(spark, path, payload=False).where("warc_type = 'revisit'").select(
+    revisits = read_archives(spark, path, payload=False, warc_type="revisit").select(
         "page_id",
         F.col("payload_length").cast("long").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
@@ -340,5 +367,5 @@ def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
         "refers_to",
     )
     both = responses.unionByName(revisits)
-    ids = {c: F.url_decode(F.when(F.col(c) != NO_ID, F.col(c))).cast(kind) for c in ("page_id", "refers_to")}
+    ids = {c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}
     return both.withColumns(ids)

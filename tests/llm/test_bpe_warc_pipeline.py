@@ -90,13 +90,33 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
 def test_filters_are_decided_on_headers(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_pages(pages(spark), path)
-    reader = warc.WarcReader(path, True)
-    kept = list(reader.pushFilters([warc.EqualTo(("warc_type",), "revisit"), warc.EqualTo(("payload",), b"")]))
-    assert [f.attribute for f in kept] == [("payload",)] and reader.wanted == {"warc_type": {"revisit"}}
-    rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert rows and {r[0] for r in rows} == {"revisit"}
-    assert warc.read_archives(spark, path, payload=False).where(F.col("payload").isNotNull()).count() == 0
-    assert warc.read_archives(spark, path).where("warc_type in ('response') and page_id = '4'").count() == 1
+    whole = warc.read_archives(spark, path)
+    rows = whole.collect()
+    for column in warc.HEADERS:
+        for value in {r[column] for r in rows} - {None}:
+            wanted = Counter(r for r in rows if r[column] == value)
+            assert Counter(warc.read_archives(spark, path, **{column: value}).collect()) == wanted
+            assert whole.where(F.col(column) == value).count() == wanted.total()
+    # what one plan asked for does not stay
+    assert whole.count() == len(rows)
+    both = warc.read_archives(spark, path, payload=False, warc_type=["revisit"], refers_to=0)
+    assert {(r.warc_type, r.refers_to, r.payload) for r in both.collect()} == {("revisit", "0", None)}
+    with pytest.raises(ValueError):
+        warc.read_archives(spark, path, payload_size=1)
+
+
+def test_any_id_and_address_come_back(spark, tmp_path):
+    names = ["a+b", "a b", "a%2Bb", "100%", "none", "", "ü\r\nX: y", "#?&=", None]
+    rows = [(n, None if n is None else f"http://h/{n}?q=ü b+c%20", f"<p>{i // 2}</p>") for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)
+    found = {r.page_id: r for r in warc.archived_pages(docs, f"file://{tmp_path}/w").collect()}
+    assert set(found) == set(names)
+    for i, n in enumerate(names):
+        twin = names[i ^ 1] if (i ^ 1) < len(names) else None
+        first = min(n, twin) if n is not None and twin is not None else None
+        assert found[n].refers_to == (first if first != n else None)
+    read = warc.read_archives(spark, f"file://{tmp_path}/w").select("page_id", "target_uri").collect()
+    assert {tuple(r) for r in read} == {r[:2] for r in rows}
 
 
 def test_uncommitted_files_are_not_read(spark, tmp_path):

@@ -1,10 +1,12 @@
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from ragframe.llm import chat, mixing, rules
+from ragframe.llm.common import table
 
 
 def targets(sizes):
@@ -153,3 +155,61 @@ def test_native_operators_use_no_python(spark, odd, sf_dir):
     for name in ("op2_mixing", "op6_chat", "op10_quality_rules"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def plain_limits(values, margin, two_sided):
+    """(least, most, low, high) of a group's values, by sorting its bins."""
+    bins = sorted(math.ceil(math.log(max(v, rules.SMALLEST)) / math.log(rules.GAMMA)) for v in values)
+
+    def quantile(tenths):
+        at = next(i for i in range(len(bins)) if 10 * (i + 1) >= tenths * len(bins))
+        return rules.GAMMA ** bins[at] * (2 / (1 + rules.GAMMA))
+
+    low, middle, high = quantile(1), quantile(5), quantile(9)
+    below = low - ((middle - low) * rules.FENCE or margin) if two_sided else -math.inf
+    return below, high + ((high - middle) * rules.FENCE or margin), low, high
+
+
+def test_kept_equals_plain_python(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    counts, groups = {}, defaultdict(lambda: defaultdict(list))
+    for r in docs.collect():
+        n, chars, symbols, lines, repeats, failed = base(r.text)
+        counts[r.doc_id] = (failed, r.lang, r.source, {} if failed else {
+            "symbols": symbols / chars, "lines": lines / n, "repeats": repeats / n, "length": chars / n})
+        if not failed:
+            for group in ((r.lang, r.source), (r.lang,), ()):
+                for rule, value in counts[r.doc_id][3].items():
+                    groups[group][rule].append(value)
+    limits = {}
+    for group in sorted(groups, key=len):
+        for rule, (_, margin, two_sided) in rules.RULES.items():
+            wider = limits.get((group[:-1], rule)) if group else None
+            own = plain_limits(groups[group][rule], margin, two_sided)
+            small = group and len(groups[group][rule]) < rules.LEAST_ROWS
+            beyond = wider and not (own[3] <= wider[1] and own[2] >= wider[0])
+            limits[group, rule] = wider if small or beyond else own
+    found = rules.judge(docs).collect()
+    assert len(found) == len(counts)
+    for r in found:
+        failed, lang, source, measures = counts[r.doc_id]
+        bad = [rule for rule, v in measures.items() if not limits[(lang, source), rule][0] <= v <= limits[(lang, source), rule][1]]
+        assert (r.base_failed, r.failed_rules, r.kept) == (failed, bad, not failed and not bad)
+    assert 0 < sum(bool(r.failed_rules) for r in found) < 0.2 * len(found)
+
+
+def test_clashing_columns_change_no_verdict(odd):
+    names = ["doc_id", "text", "lang", "source"]
+    plain = Counter(map(str, rules.judge(odd.select(names)).collect()))
+    clash = odd.select(*names, F.lit(1).alias("rule"), F.lit(2).alias("n_words"), F.lit(3).alias("limit"), F.lit("x").alias("kept"))
+    assert Counter(map(str, rules.judge(clash).collect())) == plain
+
+
+def test_odd_groups_do_not_set_their_own_limit(spark):
+    def text(i, mark):
+        return " ".join(f"w{i}n{j}{mark if j % 2 else ''}" for j in range(60))
+
+    rows = [(i, text(i, ""), "en", "clean") for i in range(600)]
+    rows += [(1000 + i, text(i, "$$$" if i % 5 == 0 else ""), "en", "bad") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert all(r.kept == (r.doc_id < 1000 or r.doc_id % 5 != 0) for r in rules.judge(docs).collect())
