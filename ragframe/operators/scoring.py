@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.settings import SCORE_CELLS, SCORE_DECIMALS, SCORE_TASKS
+from ragframe.settings import BUFFER_ROWS, SCORE_CELLS, SCORE_DECIMALS, SCORE_TASKS
 
 CANDIDATE_SCHEMA = "query_id string, chunk_id string, vec_score double, file string"
 
@@ -59,37 +59,54 @@ def _matrix(column: pa.Array, dim: int, names: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
+_COLUMNS = ("query", "distance", "chunk", "file")
+
+
 class _Best:
-    """Running best list per query: smallest distance, then smallest chunk id."""
+    """Running best list per query: smallest distance, then smallest chunk id.
+
+    What may enter waits in a buffer. When that is full, it is sorted into the lists, whose last places are the limits
+    for what follows; until then older limits let a little too much in.
+    """
 
-    def __init__(self, fetch_k: np.ndarray):
+    def __init__(self, fetch_k: np.ndarray, room: int | None = None):
         self.fetch_k = fetch_k
+        self.room = room or max(BUFFER_ROWS, 2 * int(fetch_k.sum()))
         # Distance and chunk id of the last place of each full list.
         self.limit = np.full(len(fetch_k), np.inf)
         self.last = np.zeros(len(fetch_k), dtype="S1")
-        self.query = np.empty(0, dtype=np.int64)
-        self.distance = np.empty(0)
-        self.chunk = np.empty(0, dtype="S1")
-        self.file = np.empty(0, dtype=np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waits = 0
+        self.lists = (np.empty(0, np.int64), np.empty(0), np.empty(0, "S1"), np.empty(0, np.int64))
 
     def add(self, distance: np.ndarray, chunks: np.ndarray, files: np.ndarray) -> None:
         deepest = min(int(self.fetch_k.max()), len(distance))
-        if deepest < len(distance):
-            # The deepest wanted distance of this slice already bounds the list.
+        bound = self.limit
+        if deepest < len(distance) and not np.isfinite(self.limit).all():
+            # Lists that are not full: the deepest wanted distance of this slice already bounds them.
             cut = np.partition(distance, deepest - 1, axis=0)[deepest - 1]
             bound = np.minimum(self.limit, cut)
-        else:
-            bound = self.limit
-        row, query = np.nonzero((distance <= bound) & np.isfinite(distance))
+        # entrants are few once the lists are full, so a flat search beats one by row and column
+        place = np.flatnonzero(distance <= bound)
+        near = distance.ravel()[place]
+        row, query = np.divmod(place, distance.shape[1])
         # Copies tie with the last place in great numbers: only smaller ids get in.
-        enters = (distance[row, query] < self.limit[query]) | (chunks[row] < self.last[query])
-        row, query = row[enters], query[enters]
-        if not len(row):
+        enters = np.isfinite(near) & ((near < self.limit[query]) | (chunks[row] < self.last[query]))
+        row, query, near = row[enters], query[enters], near[enters]
+        if len(row):
+            self.waiting.append((query, near, chunks[row], files[row]))
+            self.waits += len(row)
+            # the first lists are made at once, as there are no limits before
+            if self.waits >= self.room or not np.isfinite(self.limit).any():
+                self.settle()
+
+    def settle(self) -> None:
+        """Sort the buffer into the lists."""
+        if not self.waiting:
             return
-        query = np.concatenate([self.query, query])
-        dist = np.concatenate([self.distance, distance[row, query[len(self.query) :]]])
-        chunk = np.concatenate([self.chunk, chunks[row]])
-        file = np.concatenate([self.file, files[row]])
+        held = [self.lists, *self.waiting]
+        query, dist, chunk, file = (np.concatenate([part[i] for part in held]) for i in range(4))
+        self.waiting, self.waits = [], 0
         order = np.lexsort((chunk, dist, query))
         query, dist, chunk, file = query[order], dist[order], chunk[order], file[order]
         begins = np.searchsorted(query, np.arange(len(self.fetch_k)))
@@ -99,8 +116,14 @@ class _Best:
         self.limit[query[last]] = dist[last]
         self.last = self.last.astype(np.promote_types(self.last.dtype, chunk.dtype))
         self.last[query[last]] = chunk[last]
-        self.query, self.distance = query[kept], dist[kept]
-        self.chunk, self.file = chunk[kept], file[kept]
+        self.lists = (query[kept], dist[kept], chunk[kept], file[kept])
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """query, distance, chunk and file of the lists, with all that waited."""
+        if name not in _COLUMNS:
+            raise AttributeError(name)
+        self.settle()
+        return self.lists[_COLUMNS.index(name)]
 
 
 class _Names:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,10 @@ from ragframe.functions.vectors import EmbedFn, embed
 from ragframe.operators.scoring import QueryBlock, in_scope, nearest, unit_rows
 from ragframe.session import checkpointed, new_path
 from ragframe.settings import (
-    PRUNE_FILES,
     QUERY_BLOCK_BYTES,
     QUERY_BLOCK_HITS,
     QUERY_BLOCK_ROWS,
+    SCAN_FILES,
     SCORE_DECIMALS,
     RetrievalDefaults,
 )
@@ -118,10 +119,15 @@ def query_blocks(resolved: DataFrame) -> Iterator[tuple[DataFrame, QueryBlock]]:
     if len(first) <= min(limit, _rows_for_hits(first["fetch_k"].max() if len(first) else 1)):
         yield resolved, _to_block(first, only=True)
         return
-    by_key = Window.partitionBy("_depth").orderBy("query_id")
     depth = F.ceil(F.log2(F.greatest(F.col("fetch_k"), F.lit(1)))).cast("int")
-    numbered = resolved.withColumn("_depth", depth).withColumn("_number", F.row_number().over(by_key))
-    saved = checkpointed(numbered)
+    placed = checkpointed(resolved.withColumns({"_depth": depth, "_part": F.spark_partition_id()}))
+    # numbers within a part, shifted by the sizes of the parts before it: no window holds all queries
+    earlier = Window.partitionBy("_depth").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_depth", "_part").count()
+    shifts = sizes.select("_depth", "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_depth", "_part").orderBy("query_id"))
+    numbered = placed.join(shifts, ["_depth", "_part"]).withColumn("_number", within + F.col("_before"))
+    saved = checkpointed(numbered.drop("_part", "_before"))
     # Queries of like depth share blocks, so one deep query costs no other a scan.
     for depth_class, total in sorted(map(tuple, saved.groupBy("_depth").count().collect())):
         size = min(limit, _rows_for_hits(2**depth_class))
@@ -218,14 +224,16 @@ def _search_block(
 def _only_files(store: DataFrame, candidates: DataFrame) -> DataFrame:
     """The store reduced to the files that hold a candidate.
 
-    A handful of queries has candidates in a handful of files. ``file`` stands
-    for file metadata, so that Spark does not open the others. With very many
-    files the store is read as it is.
+    ``file`` stands for file metadata, so that Spark does not open the others. A block has QUERY_BLOCK_HITS candidates
+    at most (or one query more), so their files are few beside a large store's; they are read in scans of SCAN_FILES
+    each, as a filter with too many names is slow to check.
     """
     if "file" not in store.columns:
         return store
-    files = [r.file for r in candidates.select("file").distinct().limit(PRUNE_FILES + 1).collect()]
-    return store.filter(F.col("file").isin(files)) if len(files) <= PRUNE_FILES else store
+    names = candidates.select("file").distinct().orderBy("file")
+    files = [r.file for r in names.collect()]
+    parts = [files[at : at + SCAN_FILES] for at in range(0, len(files), SCAN_FILES)] or [[]]
+    return reduce(DataFrame.unionByName, [store.filter(F.col("file").isin(part)) for part in parts])
 
 
 def _hybrid_score():

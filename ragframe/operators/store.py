@@ -1,10 +1,11 @@
 """The chunk store: rows with vectors, replaced source by source.
 
-On disk an upsert only adds: the batch's chunks, the list of stored sources it
-replaces, and at last one commit row. Readers take the committed batches and
-leave out chunks whose source a later batch replaced. The cost of an upsert
-follows the size of the batch, not of the store; :func:`compact` folds the
-batches together when the lists have grown.
+On disk an upsert only adds: the batch's chunks, an index of its sources with
+their numbers of chunks, the list of stored sources it replaces, and at last one
+commit row. Readers take the committed batches and leave out chunks whose source
+a later batch replaced. What an upsert replaces, and how many chunks that are, is
+found in the index alone; it opens no chunk file of an earlier batch.
+:func:`compact` folds the batches together when the lists have grown.
 
 Chunks lie in Parquet, partitioned by batch and ``doc_type``. Nothing is laid
 out by source, so a source with very many chunks fills no single file or task.
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragframe.functions.ids import with_source_path
-from ragframe.settings import BROADCAST_ROWS, PAGE_MARK
+from ragframe.session import checkpointed
+from ragframe.settings import BROADCAST_ROWS, INDEX_NAMES, PAGE_MARK
 from ragframe.sources import paths
 
 CHUNK_SCHEMA = T.StructType(
@@ -36,6 +38,10 @@ CHUNK_SCHEMA = T.StructType(
 )
 _SOURCE = ("source_id", "source_path")
 _SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _SOURCE])
+# A row per source and name under which it can be replaced.
+_INDEX_SCHEMA = T.StructType(
+    [T.StructField("name", T.StringType()), *_SOURCE_SCHEMA.fields, T.StructField("chunks", T.LongType())]
+)
 _STATS = ("status", "raw_docs", "chunks", "replaced_sources", "replaced_points")
 
 
@@ -52,6 +58,12 @@ def _page_prefixes(source_id: Column) -> Column:
     return F.when(F.size(parts) > 1, prefixes).otherwise(F.array().cast("array<string>"))
 
 
+def _names() -> Column:
+    """Every name under which a source can be replaced."""
+    prefixes = _page_prefixes(F.coalesce("source_id", F.lit("")))
+    return F.array_compact(F.array_union(F.array("source_path", "source_id"), prefixes))
+
+
 def replaced_sources(store: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct (source_id, source_path) of the store that ``targets`` replaces.
 
@@ -59,13 +71,7 @@ def replaced_sources(store: DataFrame, targets: DataFrame) -> DataFrame:
     number of chunks per source; only those are matched, by equality on every
     name under which a source can be replaced.
     """
-    sources = store.select(*_SOURCE).distinct()
-    names = F.array_compact(
-        F.array_union(
-            F.array("source_path", "source_id"), _page_prefixes(F.coalesce("source_id", F.lit("")))
-        )
-    )
-    named = sources.withColumn("_name", F.explode(names))
+    named = store.select(*_SOURCE).distinct().withColumn("_name", F.explode(_names()))
     wanted = targets.select(F.col("source_path").alias("_name")).distinct()
     return named.join(wanted, "_name", "left_semi").select(*_SOURCE).distinct()
 
@@ -102,14 +108,20 @@ def upsert(store: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_stats(
-    chunks: DataFrame, replaced_chunks: DataFrame, documents: DataFrame | None = None
+    chunks: DataFrame,
+    replaced_chunks: DataFrame,
+    documents: DataFrame | None = None,
+    points: Column | None = None,
 ) -> DataFrame:
-    """status, raw_docs, chunks, replaced_sources, replaced_points in one row."""
+    """status, raw_docs, chunks, replaced_sources, replaced_points in one row.
+
+    ``replaced_chunks`` are counted, or summed up by the aggregate ``points``.
+    """
     one = chunks.agg(
         F.count(F.lit(1)).alias("chunks"),
         F.countDistinct("source_path").alias("replaced_sources"),
     )
-    gone = replaced_chunks.agg(F.count(F.lit(1)).alias("replaced_points"))
+    gone = replaced_chunks.agg((F.count(F.lit(1)) if points is None else points).alias("replaced_points"))
     raw = (
         documents.agg(F.count(F.lit(1)).alias("raw_docs"))
         if documents is not None
@@ -172,12 +184,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     )
     if not paths.exists(spark, f"{path}/replaced"):
         return chunks.drop("batch")
-    gone = (
-        _table(spark, f"{path}/replaced", _SOURCE_SCHEMA)
-        .filter((F.col("batch") > since) & (F.col("batch") <= last))
-        .groupBy(*_SOURCE)
-        .agg(F.max("batch").alias("batch"))
-    )
+    gone = _replaced(spark, path, since, last)
     later = _sources_match() & (F.col("s.batch") < F.col("r.batch"))
     return chunks.alias("s").join(_small(gone).alias("r"), later, "left_anti").drop("batch")
 
@@ -199,6 +206,41 @@ def _write(chunks: DataFrame, path: str) -> None:
     )
 
 
+def _write_index(chunks: DataFrame, path: str, batch: int) -> None:
+    """The sources among a batch's chunks, sorted by name within files and with a bloom filter on it."""
+    sources = chunks.groupBy(*_SOURCE).agg(F.count(F.lit(1)).alias("chunks"))
+    named = sources.select(F.explode(_names()).alias("name"), *_SOURCE, "chunks").sortWithinPartitions("name")
+    writer = named.write.mode("overwrite").option("parquet.bloom.filter.enabled#name", "true")
+    writer.parquet(f"{path}/sources/batch={batch}")
+
+
+def _indexed(spark: SparkSession, path: str, targets: DataFrame, since: int, last: int) -> DataFrame:
+    """(source_id, source_path, batch, chunks) of the visible sources that ``targets`` replaces."""
+    if not paths.exists(spark, f"{path}/sources"):
+        raise ValueError(f"{path} has no index of its sources; compact the store first")
+    names = targets.select(F.col("source_path").alias("name")).distinct()
+    few = [r["name"] for r in names.limit(INDEX_NAMES + 1).collect()]
+    index = _table(spark, f"{path}/sources", _INDEX_SCHEMA).filter(F.col("batch").between(since, last))
+    if len(few) <= INDEX_NAMES:
+        # literals reach the scan: row groups without these names stay closed
+        found = index.filter(F.col("name").isin([n for n in few if n is not None]))
+    else:
+        found = index.join(names, "name", "left_semi")
+    found = found.select(*_SOURCE, "batch", "chunks").distinct()
+    if not paths.exists(spark, f"{path}/replaced"):
+        return found
+    later = _sources_match() & (F.col("s.batch") < F.col("r.batch"))
+    gone = _replaced(spark, path, since, last)
+    return found.alias("s").join(gone.alias("r"), later, "left_anti")
+
+
+def _replaced(spark: SparkSession, path: str, since: int, last: int) -> DataFrame:
+    """(source_id, source_path, batch): the last batch that replaced a source."""
+    rows = _table(spark, f"{path}/replaced", _SOURCE_SCHEMA)
+    rows = rows.filter((F.col("batch") > since) & (F.col("batch") <= last))
+    return rows.groupBy(*_SOURCE).agg(F.max("batch").alias("batch"))
+
+
 def _commit(stats: DataFrame, path: str, batch: int, since: int, label: str | None) -> DataFrame:
     row = stats.withColumns(
         {"label": F.lit(label).cast("string"), "since": F.lit(since).cast("bigint")}
@@ -236,13 +278,16 @@ def upsert_store(
     _write(with_source_path(chunks), target)
     # Chunks are split and embedded once; the rest reads what was written.
     incoming = spark.read.schema(CHUNK_SCHEMA).parquet(target)
-    store = read_store(spark, path)
+    _write_index(incoming, path, batch)
     replaced_path = f"{path}/replaced/batch={batch}"
     targets = incoming.select("source_path").distinct()
-    replaced_sources(store, targets).write.mode("overwrite").parquet(replaced_path)
-    hit = spark.read.schema(_SOURCE_SCHEMA).parquet(replaced_path)
-    gone = store.alias("s").join(_small(hit).alias("r"), _sources_match(), "left_semi")
-    return _commit(ingest_stats(incoming, gone, documents), path, batch, since, label)
+    if last < 0:
+        hit = spark.createDataFrame([], _batched(_SOURCE_SCHEMA)).withColumn("chunks", F.lit(0).cast("bigint"))
+    else:
+        hit = checkpointed(_indexed(spark, path, targets, since, last))
+    hit.select(*_SOURCE).distinct().write.mode("overwrite").parquet(replaced_path)
+    points = F.coalesce(F.sum("chunks"), F.lit(0))
+    return _commit(ingest_stats(incoming, hit, documents, points), path, batch, since, label)
 
 
 def compact(spark: SparkSession, path: str) -> DataFrame:
@@ -253,10 +298,12 @@ def compact(spark: SparkSession, path: str) -> DataFrame:
     live = read_store(spark, path)
     _write(live, target)
     kept = spark.read.schema(CHUNK_SCHEMA).parquet(target)
+    _write_index(kept, path, batch)
     stats = _commit(ingest_stats(kept, kept.limit(0)), path, batch, batch, None)
     for old in range(since, batch):
         paths.remove(spark, f"{path}/chunks/batch={old}")
         paths.remove(spark, f"{path}/replaced/batch={old}")
+        paths.remove(spark, f"{path}/sources/batch={old}")
     return stats
 
 

@@ -143,11 +143,15 @@ SCORE_DECIMALS = 9
 QUERY_BLOCK_ROWS = 8192
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK_HITS = 200_000
-# Most files a second look at the store names one by one.
-PRUNE_FILES = 20_000
+# Files that one scan of a second look at the store names; further ones are further scans.
+SCAN_FILES = 10_000
+# Most names of sources that an upsert hands to the scan of the source index as literals.
+INDEX_NAMES = 10_000
 # Tasks of one scan for candidates; each returns short lists, so more of them
 # than the largest clusters run at once would only lengthen the shuffle.
 SCORE_TASKS = 32_768
+# Entrants that wait, at least, before a task sorts them into its best lists.
+BUFFER_ROWS = 1 << 17
 # Cells of one score matrix inside a task (8 bytes each).
 SCORE_CELLS = 2_000_000
 # Largest side, in rows, that an upsert or a rule join may broadcast.

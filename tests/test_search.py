@@ -259,3 +259,36 @@ def test_vectors_of_another_length_are_named(spark, store, queries):
     odd = spark.createDataFrame([("x", "project/1.md", "project", "t", [1.0, 2.0])], store.schema)
     with pytest.raises(Exception, match="chunk x has a vector of 2 numbers"):
         similarity_topk(odd, queries).collect()
+
+
+def test_second_looks_open_only_files_with_candidates(spark, tmp_path, monkeypatch):
+    """However many files hold candidates, no scan reads the others."""
+    monkeypatch.setattr(search_module, "SCAN_FILES", 3)
+    path = str(tmp_path / "files")
+    rows = spark.range(40).selectExpr("cast(id as string) as chunk_id", "'project' as doc_type", "concat('text ', id) as text")
+    rows.repartition(20).write.parquet(path)
+    store = chunk_store.with_file(spark.read.parquet(path))
+    wanted = store.where("cast(chunk_id as int) < 12").select("chunk_id", "file")
+    files = {r.file for r in wanted.collect()}
+    assert len(files) > 3
+    found = search_module._only_files(store, wanted)
+    assert {r.file for r in found.select("file").collect()} == files
+    assert found.count() == store.where(F.col("file").isin(list(files))).count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == -(-len(files) // 3)
+
+
+def test_buffered_lists_equal_sorting():
+    rng = np.random.default_rng(8)
+    for room in (1, 50, 10_000):
+        fetch = rng.integers(1, 9, 20)
+        best = _Best(fetch, room)
+        distance = np.round(rng.integers(0, 30, (400, 20)) / 10, 1)
+        distance[rng.random(distance.shape) < 0.1] = np.inf
+        names = np.array([f"c{i:03d}".encode() for i in rng.permutation(400)])
+        for at in range(0, 400, 37):
+            best.add(distance[at : at + 37], names[at : at + 37], np.zeros(len(names[at : at + 37]), np.int64))
+        for q in range(20):
+            want = sorted((d, n) for d, n in zip(distance[:, q], names, strict=True) if np.isfinite(d))[: fetch[q]]
+            got = [(d, n) for d, n in zip(best.distance[best.query == q], best.chunk[best.query == q], strict=True)]
+            assert got == want

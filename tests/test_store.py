@@ -136,3 +136,41 @@ def test_ids_are_stable_and_unique(spark):
     once, again = (ids_of(chunk_documents(d)) for d in (docs, docs.repartition(3)))
     assert once == again and len(set(once)) == len(once) > 20
     assert chunk_documents(docs).filter(F.length("text") > 900).count() == 0
+
+
+def test_an_upsert_opens_no_old_chunk_file(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def chunks(rows):
+        return spark.createDataFrame(
+            [(f"{s}-{i}", s, p, i, "t", "project") for s, p, n in rows for i in range(n)],
+            "chunk_id string, source_id string, source_path string, chunk_index int, text string, doc_type string",
+        )
+
+    st.upsert_store(spark, path, chunks([("a.md", "a.md", 3), ("b.pdf#p1", "b.pdf", 2), ("b.pdf#p2", "b.pdf", 2), ("c", "c", 1)]))
+    st.upsert_store(spark, path, chunks([("a.md", "a.md", 5)]))
+    for file in (tmp_path / "store" / "chunks").rglob("*.parquet"):
+        file.write_bytes(b"nobody reads this")
+    for crc in (tmp_path / "store" / "chunks").rglob(".*.crc"):
+        crc.write_bytes(b"")
+    stats = st.upsert_store(spark, path, chunks([("a.md", "a.md", 1), ("b.pdf#p1", "b.pdf", 1), ("new", "new", 1)])).first()
+    # the first version of a.md is replaced already
+    assert (stats.chunks, stats.replaced_sources, stats.replaced_points) == (3, 3, 5 + 4)
+    index = spark.read.parquet(f"{path}/replaced/batch=2").collect()
+    assert {r.source_id for r in index} == {"a.md", "b.pdf#p1", "b.pdf#p2"}
+
+
+def test_the_index_is_joined_where_names_are_many(spark, tmp_path, monkeypatch):
+    stats = []
+    for most in (10_000, 1):
+        monkeypatch.setattr(st, "INDEX_NAMES", most)
+        path = str(tmp_path / f"store{most}")
+        rows = [(f"{s}-{i}", s, s, i, "t", "project") for s in ("a", "b", None) for i in range(3)]
+        schema = "chunk_id string, source_id string, source_path string, chunk_index int, text string, doc_type string"
+        df = spark.createDataFrame(rows, schema)
+        for _ in range(2):
+            last = st.upsert_store(spark, path, df).first()
+        st.compact(spark, path)
+        again = st.upsert_store(spark, path, df.where("source_id = 'a'")).first()
+        stats.append((last, again, st.read_store(spark, path).count()))
+    assert stats[0] == stats[1] and stats[0][1].replaced_points == 3
