@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from ragframe.sources import paths
 
 # Suffix match of any case, as a file-listing filter.
 _TREE_GLOB = "*.{[mM][dD],[tT][xX][tT],[pP][dD][fF]}"
-_PAGES_SCHEMA = "rel_path string, page_no int, text string"
+_SCANNED_SCHEMA = "rel_path string, page_no int, text string, error string"
 
 
 def list_tree(spark: SparkSession, base: str, with_content: bool = True) -> DataFrame:
@@ -71,9 +72,19 @@ def _empty_files(spark: SparkSession, base: str) -> DataFrame:
     return names.join(list_tree(spark, base, with_content=False), "rel_path", "left_anti")
 
 
+@F.arrow_udf(T.StringType())
+def _decoded(contents: pa.Array) -> pa.Array:
+    texts = (None if c is None else c.decode("utf-8", "ignore") for c in contents.to_pylist())
+    return pa.array(list(texts), pa.string())
+
+
 def utf8_text(content):
-    valid = F.make_valid_utf8(content.cast("string"))
-    return F.replace(valid, F.lit("�"), F.lit(""))
+    """Text without the bytes that are no UTF-8; replacement characters that a file holds stay.
+
+    Only contents with such bytes go to Python.
+    """
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(_decoded(F.when(~F.is_valid_utf8(text), content)))
 
 
 def read_paged(
@@ -82,24 +93,52 @@ def read_paged(
     """Pages of the paged files below ``base`` as (rel_path, page_no, text).
 
     ``page_texts`` turns the bytes of a file into its page texts. If it fails
-    part way, the pages it gave before count and the rest of the file is left out.
+    part way, the pages it gave before count and the rest of the file is left
+    out; :func:`scan_paged` tells which files these are.
+    """
+    return paged_rows(scan_paged(spark, base, page_texts))
+
+
+def scan_paged(
+    spark: SparkSession, base: str, page_texts: Callable[[bytes], Iterable[str | None]]
+) -> DataFrame:
+    """Pages and failures of the paged files below ``base``, from one pass.
+
+    (rel_path, page_no, text, error): a file that fails has a last row without
+    text, with the number of the page that could not be read and the error.
+    Keep the rows (a checkpoint, a table) to use both parts of them.
     """
     files = list_tree(spark, base).filter(F.lower("rel_path").endswith(PAGED_SUFFIX))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rel_path, content in zip(batch["rel_path"], batch["content"], strict=True):
-                pages: list[str] = []
+                pages: list[str | None] = []
+                errors: list[str | None] = []
                 try:
                     for text in page_texts(bytes(content)):
                         pages.append(text or "")
-                except Exception:
-                    pass
+                        errors.append(None)
+                except Exception as error:
+                    pages.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+                numbers = range(1, len(pages) + 1)
                 yield pd.DataFrame(
-                    {"rel_path": rel_path, "page_no": range(1, len(pages) + 1), "text": pages}
+                    {"rel_path": rel_path, "page_no": numbers, "text": pages, "error": errors}
                 )
 
-    return files.mapInPandas(read, _PAGES_SCHEMA)
+    return files.mapInPandas(read, _SCANNED_SCHEMA)
+
+
+def paged_rows(scanned: DataFrame) -> DataFrame:
+    """The pages of :func:`scan_paged`: (rel_path, page_no, text)."""
+    return scanned.filter(F.col("error").isNull()).drop("error")
+
+
+def failed_files(scanned: DataFrame) -> DataFrame:
+    """The files of :func:`scan_paged` that failed: (rel_path, error, pages_read)."""
+    failed = scanned.filter(F.col("error").isNotNull())
+    return failed.select("rel_path", "error", (F.col("page_no") - 1).alias("pages_read"))
 
 
 def text_to_documents(files: DataFrame, redaction: bool = True) -> DataFrame:

@@ -97,3 +97,28 @@ def test_stream_takes_the_newest_text_and_counts_batches_once(spark, tmp_path):
         "external/c.md": ("c", "external"),
     }
     assert st.commits(spark, path).count() == 2
+
+
+def test_only_bytes_that_are_no_utf8_are_dropped(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("kept � mark".encode())
+    (tmp_path / "b.md").write_bytes("both � and ".encode() + b"\xff\xc3(" + "é".encode())
+    (tmp_path / "c.txt").write_bytes("plain é".encode())
+    found = {r.rel_path: r.text for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert found == {"a.md": "kept � mark", "b.md": "both � and (é", "c.txt": "plain é"}
+
+
+def test_failed_files_are_told(spark, tmp_path):
+    def page_texts(content):
+        for i, page in enumerate(content.decode().split("|"), 1):
+            if page == "bad":
+                raise ValueError(f"page {i} is broken")
+            yield page
+
+    for name, body in (("a.pdf", "one|two"), ("b.pdf", "one|two|bad|four"), ("c.PDF", "bad")):
+        (tmp_path / name).write_bytes(body.encode())
+    scanned = files.scan_paged(spark, str(tmp_path), page_texts)
+    pages = sorted(map(tuple, files.paged_rows(scanned).collect()))
+    assert pages == [("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("b.pdf", 1, "one"), ("b.pdf", 2, "two")]
+    assert pages == sorted(map(tuple, files.read_paged(spark, str(tmp_path), page_texts).collect()))
+    failed = sorted(map(tuple, files.failed_files(scanned).collect()))
+    assert failed == [("b.pdf", "ValueError: page 3 is broken", 2), ("c.PDF", "ValueError: page 1 is broken", 0)]
