@@ -9,7 +9,6 @@ more than ``PENALTY`` times the logarithm of the number of words. The prediction
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,15 +33,21 @@ WORD_CHARS = 40
 # Words of a text that are looked up at once.
 PIECE_WORDS = 10_000
 
-# Word characters that are neither letters nor decimal digits: numerals like ² or ½.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
 # Letters in a row count as words of so many at most, so one word stays small.
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,{WORD_CHARS}}}")
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
 
 # Odd numbers of a multiplicative hash over code points.
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def letter_runs(text: str) -> list[str]:
+    """Letters in a row. The pattern takes numerals like ² or ½ along, which seldom occur; they part words here."""
+    found = _LETTERS.findall(text)
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run).split())]
+
+
 def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per n: buckets of the n-grams of all words, word after word, and how many each word has.
 
@@ -87,7 +92,7 @@ def learn(docs: DataFrame, rest: Column) -> Languages:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(letter_runs(text.lower()))
             if sum(map(len, words.values())) > 200_000:
                 empty()
         empty()
@@ -132,7 +137,7 @@ class Reader:
 
     def likelihoods(self, text: str) -> np.ndarray:
         """words x languages; the words' n-grams counted per word."""
-        words = _LETTERS.findall(text)
+        words = letter_runs(text)
         out = []
         # in pieces, so that emptying the table cannot mix rows
         for start in range(0, len(words), PIECE_WORDS):
