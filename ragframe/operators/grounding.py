@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.functions.metadata import entry, filled, overlaid
 from ragframe.functions.text import redact
 from ragframe.settings import CONTEXT_SEPARATOR, UNKNOWN_SOURCE
 
@@ -36,15 +37,9 @@ def contexts(hits: DataFrame) -> DataFrame:
 
 
 def hit_meta(hits: DataFrame) -> Column:
-    """Filled metadata fields of a hit as a map of texts."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
-            for c in _META
-            if c in hits.columns
-        ]
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    """Filled metadata of a hit as a map of texts: its open ``meta`` under the named fields."""
+    named = filled([entry(c) for c in _META if c in hits.columns])
+    return overlaid(F.col("meta"), named) if "meta" in hits.columns else named
 
 
 def sources(hits: DataFrame) -> DataFrame:

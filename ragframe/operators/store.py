@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragframe.functions.ids import with_source_path
+from ragframe.functions.metadata import META_TYPE, with_meta
 from ragframe.session import checkpointed
 from ragframe.settings import BROADCAST_ROWS, INDEX_NAMES, PAGE_MARK
 from ragframe.sources import paths
@@ -34,8 +35,12 @@ CHUNK_SCHEMA = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("doc_type", T.StringType()),
+        # null in batches that were written without it
+        T.StructField("meta", META_TYPE),
     ]
 )
+# Columns of work on chunks that are no metadata.
+_WORK = ("start", "pos", "file", "batch", "doc_order")
 _SOURCE = ("source_id", "source_path")
 _SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _SOURCE])
 # A row per source and name under which it can be replaced.
@@ -82,7 +87,7 @@ def _sources_match() -> Column:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast hint only after counting; otherwise a shuffled join with AQE."""
     rows = df.limit(BROADCAST_ROWS + 1).count()
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -186,11 +191,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return chunks.drop("batch")
     gone = _replaced(spark, path, since, last)
     later = _sources_match() & (F.col("s.batch") < F.col("r.batch"))
-    return chunks.alias("s").join(_small(gone).alias("r"), later, "left_anti").drop("batch")
+    return chunks.alias("s").join(small(gone).alias("r"), later, "left_anti").drop("batch")
 
 
 def _write(chunks: DataFrame, path: str) -> None:
-    """Write chunks as they come: no shuffle, files follow the input splits."""
+    """Write chunks as they come: no shuffle, files follow the input splits.
+
+    Columns without a place of their own are kept as keys of ``meta``.
+    """
+    chunks = with_meta(chunks, [*CHUNK_SCHEMA.names, *_WORK])
     (
         chunks.select(
             *[
@@ -313,8 +322,11 @@ def sample(store: DataFrame, limit: int = 10, after: str | None = None) -> DataF
     The last id of a page is the ``after`` of the next one.
     """
     wanted = store if after is None else store.filter(F.col("chunk_id") > after)
-    fields = [c for c in store.columns if c not in ("chunk_id", "embedding", "file")]
+    fields = [c for c in store.columns if c not in ("chunk_id", "embedding", "file", "meta")]
     keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fields]))
+    if "meta" in store.columns:
+        filled = F.map_filter("meta", lambda _, v: v.isNotNull())
+        keys = F.array_union(keys, F.coalesce(F.map_keys(filled), F.array().cast("array<string>")))
     return (
         wanted.orderBy("chunk_id")
         .limit(limit)

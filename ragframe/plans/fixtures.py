@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragframe.functions import ids
+from ragframe.functions.metadata import entry, filled
 from ragframe.functions.text import redact
 from ragframe.functions.vectors import embed
 from ragframe.operators.chunking import chunk_fixed
@@ -51,11 +52,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files (rel_path, text); Markdown files get headers."""
     docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 3 == 0, markdown_text()).otherwise(F.col("text"))
-    return spread(docs, "doc_id").select("doc_id", rel_path().alias("rel_path"), text.alias("text"))
+    return spread(docs, "doc_id").select("doc_id", rel_path().alias("rel_path"), text.alias("text"), "lang")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted documents; paged files are taken as their page 1, 2 or 3."""
+    """Redacted documents with their language as open metadata; paged files are taken as their page 1, 2 or 3."""
     page = F.concat(F.lit("#p"), (F.col("doc_id") % 3 + 1).cast("string"))
     named = files(spark, sf_dir).withColumn(
         "source_id",
@@ -68,6 +69,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("rel_path").alias("source_path"),
         ids.doc_type(F.col("rel_path")).alias("doc_type"),
         redact(F.col("text")).alias("text"),
+        # a key of the documents' own, which reaches chunks, store, hits and sources
+        filled([entry("lang")]).alias("meta"),
     )
 
 

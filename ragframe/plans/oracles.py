@@ -74,7 +74,7 @@ files AS (
         '\n([A-H])', chr(10) || '## \1', 'g'), '\n([I-P])', chr(10) || '### \1', 'g')
       || chr(10) || '```' || chr(10) || '# no header' || chr(10) || '```' || chr(10)
       || '# Last' || chr(10) || 'end'
-    ELSE text END AS text
+    ELSE text END AS text, lang
   FROM documents)
 """
 
@@ -83,23 +83,23 @@ docs AS (
   SELECT CASE WHEN rel_path LIKE '%.pdf' THEN rel_path || '#p' || (doc_id % 3 + 1) ELSE rel_path END AS source_id,
     rel_path AS source_path,
     CASE WHEN starts_with(rel_path, 'external/') THEN 'external' ELSE 'project' END AS doc_type,
-    {redact("text")} AS text
+    {redact("text")} AS text, lang
   FROM files)
 """
 
 CHUNKS = f"""
 windows AS (
-  SELECT source_id, source_path, doc_type, s, {strip("substr(text, s + 1, 900)")} AS text
+  SELECT source_id, source_path, doc_type, lang, s, {strip("substr(text, s + 1, 900)")} AS text
   FROM (SELECT *, unnest(range(0, greatest(length(text) - 151, 0) + 1, 750)) AS s FROM docs)),
 numbered AS (
-  SELECT source_id, source_path, doc_type, text,
+  SELECT source_id, source_path, doc_type, lang, text,
     (row_number() OVER (PARTITION BY source_id ORDER BY s) - 1)::INT AS chunk_index
   FROM windows WHERE text <> ''),
 digested AS (SELECT *, {text_id("source_id", "chunk_index")} AS h FROM numbered),
 chunks AS (
   SELECT substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' ||
       printf('%02x', (('0x' || substr(h,17,2))::INT & 63) | 128) || substr(h,19,2) || '-' || substr(h,21,12) AS chunk_id,
-    source_id, source_path, doc_type, chunk_index, split_part(source_path, '/', 1) AS h1, text
+    source_id, source_path, doc_type, chunk_index, split_part(source_path, '/', 1) AS h1, text, lang
   FROM digested)
 """
 
@@ -457,7 +457,8 @@ contexts AS (
 SOURCES = """
 sources AS (
   SELECT query_id, source_id, min(rank)::INT AS position, max_by(chunk_index, rank) AS last_chunk,
-    max_by(source_path, rank) AS source_path, max_by(doc_type, rank) AS doc_type, max_by(h1, rank) AS h1
+    max_by(source_path, rank) AS source_path, max_by(doc_type, rank) AS doc_type, max_by(h1, rank) AS h1,
+    max_by(coalesce('|lang=' || lang, ''), rank) AS lang_part
   FROM hits GROUP BY ALL),
 source_lists AS (
   SELECT query_id, list(source_id ORDER BY position) AS source_ids,

@@ -265,7 +265,8 @@ def write_eval_json(spark, sf):
     with_(
         sql.STORE,
         select="""
-SELECT chunk_id, source_id, doc_type, 'chunk_index|doc_type|h1|source_id|source_path|text' AS metadata_keys
+SELECT chunk_id, source_id, doc_type, 
+  'chunk_index|doc_type|h1|' || CASE WHEN lang IS NULL THEN '' ELSE 'lang|' END || 'source_id|source_path|text' AS metadata_keys
 FROM chunks WHERE chunk_id > '7' ORDER BY chunk_id LIMIT 10""",
     ),
 )
@@ -886,7 +887,7 @@ def build_prompt(spark, sf):
         *sql.hits(),
         sql.SOURCES,
         select="""SELECT query_id, source_id, position, 'chunk_index=' || last_chunk || '|doc_type=' || doc_type || '|h1=' || h1
-  || '|source_id=' || source_id || '|source_path=' || source_path AS meta FROM sources""",
+  || lang_part || '|source_id=' || source_id || '|source_path=' || source_path AS meta FROM sources""",
     ),
 )
 def collect_sources(spark, sf):

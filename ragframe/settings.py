@@ -156,6 +156,9 @@ BUFFER_ROWS = 1 << 17
 SCORE_CELLS = 2_000_000
 # Largest side, in rows, that an upsert or a rule join may broadcast.
 BROADCAST_ROWS = 500_000
+# Files of a folder tree that one task reads, and the bytes it hands on at once.
+TREE_FILES_PER_TASK = 1000
+TREE_BATCH_BYTES = 4 << 20
 # Documents of one source that are numbered together in one window group.
 INDEX_BLOCK = 4096
 EMBEDDING_DIM = 256

@@ -14,62 +14,18 @@ from ragframe.functions import ids
 from ragframe.functions.text import is_blank, redact
 from ragframe.settings import PAGE_MARK, PAGED_SUFFIX, TEXT_SUFFIXES
 from ragframe.sources import paths
+from ragframe.sources.tree import list_files, read_files
 
-# Suffix match of any case, as a file-listing filter.
-_TREE_GLOB = "*.{[mM][dD],[tT][xX][tT],[pP][dD][fF]}"
 _SCANNED_SCHEMA = "rel_path string, page_no int, text string, error string"
 
 
-def list_tree(spark: SparkSession, base: str, with_content: bool = True) -> DataFrame:
-    """All .md, .txt and .pdf files below ``base`` with their relative path."""
-    return _tree(spark, base).select(
-        relative_path(F.col("path"), base).alias("rel_path"),
-        *([F.col("content")] if with_content else []),
-    )
-
-
-def _tree(spark: SparkSession, base: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _TREE_GLOB)
-        .load(base)
-    )
-
-
-def relative_path(path, base: str):
-    """Path below ``base``; both may or may not carry a scheme."""
-    bare = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
-    bare = "/" + bare.strip("/") + "/"
-    return F.substring(path, F.locate(bare, path) + F.lit(len(bare)), F.length(path))
-
-
 def read_tree(spark: SparkSession, base: str) -> DataFrame:
     """Text files below ``base`` as (rel_path, text); bytes that are no UTF-8 are dropped.
 
     Order rows by ``rel_path`` where order matters; the files come in any order.
     """
-    files = list_tree(spark, base).select(
-        "rel_path", utf8_text(F.col("content")).alias("text")
-    )
-    empty = _empty_files(spark, base).withColumn("text", F.lit(""))
-    name = F.lower("rel_path")
-    wanted = name.endswith(TEXT_SUFFIXES[0]) | name.endswith(TEXT_SUFFIXES[1])
-    return files.unionByName(empty).filter(wanted)
-
-
-def _empty_files(spark: SparkSession, base: str) -> DataFrame:
-    """Files without a byte, which a scan leaves out though they are listed.
-
-    The names come from the listing Spark has made for the scan; contents are
-    not read.
-    """
-    names = [(name,) for name in _tree(spark, base).inputFiles()]
-    listed = spark.createDataFrame(names, "value string")
-    # Listed names are percent-encoded, and a plus sign stands for itself.
-    plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
-    names = listed.select(relative_path(plain, base).alias("rel_path"))
-    return names.join(list_tree(spark, base, with_content=False), "rel_path", "left_anti")
+    files = read_files(spark, base, list_files(spark, base, TEXT_SUFFIXES))
+    return files.select("rel_path", utf8_text(F.col("content")).alias("text"))
 
 
 @F.arrow_udf(T.StringType())
@@ -108,7 +64,7 @@ def scan_paged(
     text, with the number of the page that could not be read and the error.
     Keep the rows (a checkpoint, a table) to use both parts of them.
     """
-    files = list_tree(spark, base).filter(F.lower("rel_path").endswith(PAGED_SUFFIX))
+    files = read_files(spark, base, list_files(spark, base, (PAGED_SUFFIX,)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from ragframe.operators import store as st
 from ragframe.plans.ingest import ingest_tree, load_documents
 from ragframe.session import new_path
@@ -122,3 +124,37 @@ def test_failed_files_are_told(spark, tmp_path):
     assert pages == sorted(map(tuple, files.read_paged(spark, str(tmp_path), page_texts).collect()))
     failed = sorted(map(tuple, files.failed_files(scanned).collect()))
     assert failed == [("b.pdf", "ValueError: page 3 is broken", 2), ("c.PDF", "ValueError: page 1 is broken", 0)]
+
+
+def test_tree_lists_every_name_in_tasks(spark, tmp_path):
+    """Names that Spark's sources skip, names with signs of an address, links to folders."""
+    for folder in ("_x", ".git/deep", "a%20b+c", "é"):
+        (tmp_path / folder).mkdir(parents=True)
+    texts = {
+        "_x/_a.md": "one", ".git/deep/.b.TXT": "two", "a%20b+c/d e.txt": "", "é/f#g?.md": "caf� \U0001f600",
+        "_SUCCESS.txt": "", "a.md.txt": "three",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    (tmp_path / ".md").write_text("a name without a suffix")
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "_x" / "link.md").symlink_to(tmp_path / "a.md.txt")
+    found = {r.rel_path: r.text for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert found == {**texts, "_x/link.md": "three"}
+
+
+def test_tree_without_files_and_without_a_folder(spark, tmp_path):
+    assert files.read_tree(spark, str(tmp_path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_tree(spark, str(tmp_path / "none"))
+
+
+def test_tree_with_more_files_than_a_batch_holds(spark, tmp_path, monkeypatch):
+    from ragframe.sources import tree
+
+    monkeypatch.setattr(tree, "TREE_BATCH_BYTES", 10)
+    for i in range(50):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"{i}.txt").write_text("x" * i)
+    found = {r.rel_path: len(r.text) for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert found == {f"d{i % 3}/{i}.txt": i for i in range(50)}
