@@ -14,7 +14,13 @@ from ragframe.settings import (
     MSG_CITATION,
     MSG_EMPTY,
     MSG_STRUCTURED,
+    PAGED_OVERLAP,
+    PAGED_SEPARATORS,
+    PAGED_SIZE,
     PII_PATTERNS,
+    PLAIN_OVERLAP,
+    PLAIN_SEPARATORS,
+    PLAIN_SIZE,
     TOOL_GATES,
     TOOL_LIST_FIELDS,
     TOOL_TEXT_FIELDS,
@@ -35,6 +41,10 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def recursive(*parts: str, select: str) -> str:
+    return with_(*parts, select=select).replace("WITH", "WITH RECURSIVE", 1)
+
+
 def cycle(col: str, values: list[str]) -> str:
     n = len(values)
     whens = " ".join(f"WHEN {col} % {n} = {i} THEN {v}" for i, v in enumerate(values))
@@ -477,3 +487,107 @@ gate AS (
       AND best_score <= threshold, false) AS grounded
   FROM params p LEFT JOIN seen USING (query_id))
 """
+
+
+# --- the splitter ------------------------------------------------------------
+
+
+def _separators(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(q(v).replace("\n", "' || chr(10) || '") for v in values) + "]"
+
+
+PLAIN_RULE = f"{PLAIN_SIZE} AS size, {PLAIN_OVERLAP} AS overlap, {_separators(PLAIN_SEPARATORS)} AS seps"
+PAGED_RULE = f"{PAGED_SIZE} AS size, {PAGED_OVERLAP} AS overlap, {_separators(PAGED_SEPARATORS)} AS seps"
+
+
+def whole_roots(table: str, key: str, rule: str) -> str:
+    """Every text as one root: (key, root, lo, text) and the rule to cut it by."""
+    return f"roots AS (SELECT {key} AS key, 0 AS root, 0 AS lo, text, {rule} FROM {table})"
+
+
+def format_roots(table: str, key: str, name: str) -> str:
+    """Markdown by its header sections, page text and other text as a whole."""
+    return rf"""
+formats AS (
+  SELECT {key} AS key, text, CASE WHEN ends_with(lower({name}), '.md') THEN 'md'
+    WHEN ends_with(lower({name}), '.pdf') OR contains(lower({name}), '.pdf#p') THEN 'pdf' ELSE 'other' END AS format
+  FROM {table}),
+md_lines AS (
+  SELECT key, generate_subscripts(parts, 1) AS n, unnest(parts) AS line
+  FROM (SELECT key, string_split(text, chr(10)) AS parts FROM formats WHERE format = 'md')),
+md_placed AS (
+  SELECT *, sum(length(line) + 1) OVER w - length(line) - 1 AS place,
+    sum(regexp_matches(line, '^[ \t]*(```|~~~)')::INT) OVER w % 2 AS inside
+  FROM md_lines WINDOW w AS (PARTITION BY key ORDER BY n)),
+md_begins AS (
+  SELECT key, place FROM md_placed WHERE n = 1 OR (inside = 0 AND regexp_matches(line, '^#{{1,3}}([ \t]|$)'))),
+md_sections AS (
+  SELECT key, place, lead(place) OVER (PARTITION BY key ORDER BY place) AS following FROM md_begins),
+roots AS (
+  SELECT key, place AS root, place AS lo,
+    substr(text, place::BIGINT + 1, (coalesce(following, length(text)) - place)::BIGINT) AS text, {PLAIN_RULE}
+  FROM md_sections JOIN formats USING (key)
+  UNION ALL SELECT key, 0, 0, text, {PAGED_RULE} FROM formats WHERE format = 'pdf'
+  UNION ALL SELECT key, 0, 0, text, {PLAIN_RULE} FROM formats WHERE format = 'other')
+"""
+
+
+def _pieces(table: str) -> str:
+    """Segments cut before each occurrence of the first separator, from their level on, that they hold."""
+    return f"""
+SELECT key, path, j, size, overlap, seps, n, piece,
+  lo + sum(length(piece)) OVER (PARTITION BY key, path ORDER BY n) - length(piece) AS lo
+FROM (
+  SELECT key, path, lo, j, size, overlap, seps, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS n
+  FROM (
+    SELECT *, list_filter(list_transform(string_split(text, seps[j]),
+      lambda p, i: CASE WHEN i = 1 THEN p ELSE seps[j] || p END), lambda p: p <> '') AS pieces
+    FROM {table} WHERE seps[j] <> ''))"""
+
+
+def _first(text: str, level: str) -> str:
+    return f"list_filter(range({level}, len(seps) + 1), lambda i: seps[i] = '' OR contains({text}, seps[i]))[1]"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# Cut places of the hierarchical splitter from ``roots``. ``segs`` are the roots and all pieces that are longer than the
+# size, cut again by the separators that follow. Neighbouring short pieces of a segment are a run; a run is packed from
+# its first piece on as far as the size allows, and the next chunk begins with the first piece that keeps the overlap and
+# the size. Begins and ends of chunks are those of their text without blanks.
+CUTS = f"""
+segs AS (
+  SELECT key, [root::BIGINT] AS path, lo::BIGINT AS lo, text, size, overlap, seps, {_first("text", "1")} AS j FROM roots
+  UNION ALL
+  SELECT key, list_append(path, n), lo::BIGINT, piece, size, overlap, seps, {_first("piece", "j + 1")}
+  FROM ({_pieces("segs")}) WHERE length(piece) > size),
+pieces AS (
+  SELECT *, sum((length(piece) > size)::INT) OVER (PARTITION BY key, path ORDER BY n) AS run FROM ({_pieces("segs")})),
+runs AS (
+  SELECT key, path, run, any_value(size) AS size, any_value(overlap) AS overlap,
+    list(lo::BIGINT ORDER BY n) AS starts, list((lo + length(piece))::BIGINT ORDER BY n) AS ends
+  FROM pieces WHERE length(piece) <= size GROUP BY key, path, run),
+packs AS (
+  SELECT *, 0::BIGINT AS a, 0::BIGINT AS b, 1::BIGINT AS f FROM runs
+  UNION ALL
+  SELECT key, path, run, size, overlap, starts, ends, starts[f],
+    CASE WHEN i > len(starts) THEN ends[-1] ELSE starts[i] END,
+    CASE WHEN i > len(starts) THEN i ELSE f + 1 + len(list_filter(starts[f + 1 : i - 1],
+      lambda s: starts[i] - s > overlap OR ends[i] - s > size)) END
+  FROM (SELECT *, f + len(list_filter(ends[f : f + size], lambda e: e - starts[f] <= size)) AS i
+    FROM packs WHERE f <= len(starts))),
+spans AS (
+  SELECT key, a, b FROM packs WHERE b > a
+  UNION ALL
+  SELECT key, lo + s, least(lo + s + size, lo + length(text)) FROM (
+    SELECT *, unnest(range(0, greatest(length(text) - overlap, 1), size - overlap)) AS s FROM segs WHERE seps[j] = '')),
+bodies AS (
+  SELECT s.key, a, b, substr(t.text, a + 1, b - a) AS body FROM spans s JOIN texts t USING (key)),
+cuts AS (
+  SELECT key, b - length(ltrim(body, {_BLANKS})) AS first, a + length(rtrim(body, {_BLANKS})) AS last
+  FROM bodies WHERE trim(body, {_BLANKS}) <> '')
+"""
+
+
+def split_cuts(roots: str, table: str, key: str) -> str:
+    return f"{roots},\ntexts AS (SELECT {key} AS key, text FROM {table}),{CUTS}"

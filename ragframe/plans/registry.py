@@ -499,8 +499,9 @@ def _squeezed(col: Column) -> Column:
 
 
 def _coverage(chunks: DataFrame, size: int) -> DataFrame:
-    """What must hold for any splitter: chunk spans lie in order, none is too long,
-    and with overlaps cut away their text is the document without white space."""
+    """Number and digest of the cut places (first-last character of each chunk), and what must hold for
+    any splitter: chunk spans lie in order, none is too long, and with overlaps cut away their text is the
+    document without white space."""
     end = F.col("start") + F.length("text")
     spans = F.array_sort(F.collect_list(F.struct("pos", "start", end.alias("end"), "text")))
     chunks = chunks.groupBy("doc_id").agg(spans.alias("spans"))
@@ -514,33 +515,42 @@ def _coverage(chunks: DataFrame, size: int) -> DataFrame:
             )
         ),
     )
+    places = F.transform(
+        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"]))),
+        lambda s: F.concat_ws("-", s["start"], s["end"]),
+    )
     return chunks.select(
         "doc_id",
         _squeezed(F.array_join(fresh, "")).alias("content"),
         F.forall("spans", lambda s: s["end"] - s["start"] <= size).alias("within_size"),
         F.forall("spans", lambda s: s["text"] == text.strip(s["text"])).alias("stripped"),
+        F.size("spans").alias("n_chunks"),
+        F.md5(joined(places, ",")).alias("cuts"),
     )
 
 
 COVERAGE_SQL = r"""
-SELECT doc_id, md5(regexp_replace(text, '\s+', '', 'g')) AS content, true AS within_size, true AS stripped
-FROM files WHERE regexp_matches(text, '\S')"""
+SELECT doc_id, md5(regexp_replace(text, '\s+', '', 'g')) AS content, true AS within_size, true AS stripped, n_chunks, cuts
+FROM files JOIN (
+  SELECT key, count(*)::INT AS n_chunks, md5(string_agg(first || '-' || last, ',' ORDER BY first, last)) AS cuts
+  FROM cuts GROUP BY key) ON key = doc_id"""
+
 
+def _splitter_sql(roots: str) -> str:
+    return sql.recursive(sql.FILES, sql.split_cuts(roots, "files", "doc_id"), select=COVERAGE_SQL)
 
-@register("chunk_recursive", with_(sql.FILES, select=COVERAGE_SQL))
+
+@register("chunk_recursive", _splitter_sql(sql.whole_roots("files", "doc_id", sql.PLAIN_RULE)))
 def chunk_recursive(spark, sf):
     return _coverage(chunking.chunk_recursive(fx.files(spark, sf).select("doc_id", "text")), 900)
 
 
-@register("chunk_paged", with_(sql.FILES, select=COVERAGE_SQL))
+@register("chunk_paged", _splitter_sql(sql.whole_roots("files", "doc_id", sql.PAGED_RULE)))
 def chunk_paged(spark, sf):
     return _coverage(chunking.chunk_paged(fx.files(spark, sf).select("doc_id", "text")), 700)
 
 
-@register(
-    "split_documents",
-    with_(sql.FILES, select=COVERAGE_SQL),
-)
+@register("split_documents", _splitter_sql(sql.format_roots("files", "doc_id", "rel_path")))
 def split_documents(spark, sf):
     files = fx.files(spark, sf).withColumn("source_id", F.col("rel_path"))
     cut = chunking.split_documents(files).withColumnRenamed("chunk_index", "pos")
@@ -1503,10 +1513,11 @@ def ingest_stream_query(spark, sf):
 
 @register(
     "ingest_documents",
-    with_(
+    sql.recursive(
         sql.FILES,
         sql.DOCS,
-        select=r"""SELECT 'ok' AS status, count(*)::BIGINT AS raw_docs, true AS chunked,
+        sql.split_cuts(sql.format_roots("docs", "source_id", "source_id"), "docs", "source_id"),
+        select=r"""SELECT 'ok' AS status, count(*)::BIGINT AS raw_docs, (SELECT count(*) FROM cuts)::BIGINT AS chunks,
   count(DISTINCT CASE WHEN regexp_matches(text, '\S') THEN source_path END)::BIGINT AS replaced_sources,
   0::BIGINT AS replaced_points FROM docs""",
     ),
@@ -1514,8 +1525,4 @@ def ingest_stream_query(spark, sf):
 def ingest_documents(spark, sf):
     """The whole ingest path with the real splitters; its statistics."""
     path = new_path(spark, "store")
-    stats = ingest.ingest_documents(spark, fx.documents(spark, sf), path)
-    chunked = F.col("chunks") >= F.col("replaced_sources")
-    return stats.select(
-        "status", "raw_docs", chunked.alias("chunked"), "replaced_sources", "replaced_points"
-    )
+    return ingest.ingest_documents(spark, fx.documents(spark, sf), path)

@@ -132,3 +132,38 @@ def test_documents_of_one_source_are_numbered_through(spark):
     found = chunk_documents(docs).collect()
     assert len({r.chunk_id for r in found}) == 3
     assert sorted((r.source_id, r.chunk_index) for r in found) == [("a.md", 0), ("a.md", 1), ("b.txt", 0)]
+
+
+def test_the_splitters_sql_cuts_as_the_splitter():
+    """The oracle's own rule against the splitter, with small sizes, so that every case comes up."""
+    import duckdb
+    import numpy as np
+
+    from ragframe.plans import oracles as sql
+
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abc  \n\n#"))
+    texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(300)]
+    texts += ["", " \n ", "abcdefghijklmnop" * 3, "\n\n\n", "a\n\n" + "b" * 30 + "\n\nc d", "\n## x\n# y\n\nz"]
+    db = duckdb.connect()
+    db.execute("create table t (id int, text varchar)")
+    db.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    for size, overlap, separators in ((12, 4, PLAIN_SEPARATORS), (7, 0, PLAIN_SEPARATORS), (15, 6, PAGED_SEPARATORS)):
+        rule = f"{size} AS size, {overlap} AS overlap, {sql._separators(separators)} AS seps"
+        query = sql.recursive(
+            sql.split_cuts(sql.whole_roots("t", "id", rule), "t", "id"),
+            select="SELECT key, first, last FROM cuts ORDER BY ALL",
+        )
+        wanted = [
+            (i, c[0], c[0] + len(c[1]))
+            for i, t in enumerate(texts)
+            for c in chunking.document_chunks(t, (size, overlap, separators), False)
+        ]
+        assert [tuple(map(int, r)) for r in db.sql(query).fetchall()] == sorted(wanted)
+        # what every splitter keeps would not tell these cuts from others
+        other = [
+            (i, c[0], c[0] + len(c[1]))
+            for i, t in enumerate(texts)
+            for c in chunking.document_chunks(t, (1, 0, separators), False)
+        ]
+        assert sorted(other) != sorted(wanted)
