@@ -34,7 +34,6 @@ class QueryBlock:
     modes: set[str]
     question_bytes: int = 0
     only: bool = True
-    signatures: np.ndarray | None = None
 
     @property
     def max_fetch(self) -> int:
@@ -47,7 +46,7 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1, norms)
 
 
-def _matrix(column: pa.Array, dim: int, names: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array, dim: int, names: pa.Array) -> np.ndarray:
     """List column as a dense float64 matrix; a missing vector becomes zeros."""
     sizes = column.value_lengths().fill_null(dim).to_numpy(zero_copy_only=False)
     for odd in np.flatnonzero(sizes != dim)[:1]:
@@ -62,7 +61,7 @@ def _matrix(column: pa.Array, dim: int, names: pa.Array) -> np.ndarray:
 _COLUMNS = ("query", "distance", "chunk", "file")
 
 
-class _Best:
+class Best:
     """Running best list per query: smallest distance, then smallest chunk id.
 
     What may enter waits in a buffer. When that is full, it is sorted into the lists, whose last places are the limits
@@ -93,12 +92,27 @@ class _Best:
         # Copies tie with the last place in great numbers: only smaller ids get in.
         enters = np.isfinite(near) & ((near < self.limit[query]) | (chunks[row] < self.last[query]))
         row, query, near = row[enters], query[enters], near[enters]
-        if len(row):
-            self.waiting.append((query, near, chunks[row], files[row]))
-            self.waits += len(row)
-            # the first lists are made at once, as there are no limits before
-            if self.waits >= self.room or not np.isfinite(self.limit).any():
-                self.settle()
+        # the first lists are made at once, as there are no limits before
+        self._hold(query, near, chunks[row], files[row], not np.isfinite(self.limit).any())
+
+    def enter(
+        self, row: np.ndarray, query: np.ndarray, near: np.ndarray, chunks: np.ndarray, files: np.ndarray
+    ) -> None:
+        """Take single pairs, none of them twice, instead of a slice of rows for all queries."""
+        limit = self.limit[query]
+        enters = (near < limit) | ((near == limit) & (chunks[row] < self.last[query]))
+        row = row[enters]
+        self._hold(query[enters], near[enters], chunks[row], files[row], False)
+
+    def _hold(
+        self, query: np.ndarray, near: np.ndarray, chunks: np.ndarray, files: np.ndarray, at_once: bool
+    ) -> None:
+        if not len(query):
+            return
+        self.waiting.append((query, near, chunks, files))
+        self.waits += len(query)
+        if self.waits >= self.room or at_once:
+            self.settle()
 
     def settle(self) -> None:
         """Sort the buffer into the lists."""
@@ -126,7 +140,7 @@ class _Best:
         return self.lists[_COLUMNS.index(name)]
 
 
-class _Names:
+class Names:
     """Numbers for the file names seen by a task (few, each for many rows)."""
 
     def __init__(self):
@@ -153,12 +167,11 @@ def in_scope(store: DataFrame, block: QueryBlock) -> DataFrame:
     return store if "all" in scopes else store.filter(F.col("doc_type").isin(scopes))
 
 
-def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame:
+def nearest(store: DataFrame, block: QueryBlock) -> DataFrame:
     """Candidates ``(query_id, chunk_id, vec_score, file, vec_rank)`` of one block.
 
     ``store`` needs chunk_id, doc_type and embedding, and may name the ``file``
-    of a row, which is handed through. ``signature_of`` (matrix
-    -> integer codes per table) restricts scoring to pairs that share a code.
+    of a row, which is handed through.
     """
     file = F.col("file") if "file" in store.columns else F.lit("")
     columns = ["chunk_id", "embedding", file.alias("file")]
@@ -166,14 +179,14 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
     if len(set(block.scopes)) > 1:
         columns.append("doc_type")
     shared = store.sparkSession.sparkContext.broadcast(
-        (block.ids, block.vectors, block.scopes, block.fetch_k, block.signatures)
+        (block.ids, block.vectors, block.scopes, block.fetch_k)
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted, query_scopes, fetch_k, signatures = shared.value
+        ids, wanted, query_scopes, fetch_k = shared.value
         if not ids:
             return
-        best, names = _Best(fetch_k), _Names()
+        best, names = Best(fetch_k), Names()
         dim = wanted.shape[1]
         step = max(1, SCORE_CELLS // max(1, len(ids)))
         # Queries that must not see a chunk of the given type.
@@ -183,7 +196,7 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
         }
         for batch in batches:
             chunks = np.array([c.encode() for c in batch.column("chunk_id").to_pylist()])
-            vectors = unit_rows(_matrix(batch.column("embedding"), dim, batch.column("chunk_id")))
+            vectors = unit_rows(matrix(batch.column("embedding"), dim, batch.column("chunk_id")))
             files = names.codes(batch.column("file"))
             kinds = None
             if "doc_type" in batch.schema.names:
@@ -195,26 +208,29 @@ def nearest(store: DataFrame, block: QueryBlock, signature_of=None) -> DataFrame
                     for kind in set(kinds[part]):
                         out = barred.get(kind, barred[None])
                         distance[np.ix_(kinds[part] == kind, out)] = np.inf
-                if signatures is not None:
-                    codes = signature_of(vectors[part])
-                    meet = np.zeros(distance.shape, dtype=bool)
-                    for t in range(codes.shape[1]):
-                        meet |= codes[:, t, None] == signatures[None, :, t]
-                    distance[~meet] = np.inf
                 best.add(distance, chunks[part], files[part])
         if len(best.query):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i] for i in best.query], pa.string()),
-                    pa.array([c.decode() for c in best.chunk], pa.string()),
-                    pa.array(best.distance, pa.float64()),
-                    pa.array([names.known[f] for f in best.file], pa.string()),
-                ],
-                names=["query_id", "chunk_id", "vec_score", "file"],
-            )
-
-    found = needed.select(*columns).coalesce(SCORE_TASKS).mapInArrow(score, CANDIDATE_SCHEMA)
+            yield candidate_batch(ids, best, names)
+
+    return ranked(needed.select(*columns).coalesce(SCORE_TASKS).mapInArrow(score, CANDIDATE_SCHEMA), block)
+
+
+def candidate_batch(ids: list[str], best: Best, names: Names) -> pa.RecordBatch:
+    """A task's best lists as rows."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([ids[i] for i in best.query], pa.string()),
+            pa.array([c.decode() for c in best.chunk], pa.string()),
+            pa.array(best.distance, pa.float64()),
+            pa.array([names.known[f] for f in best.file], pa.string()),
+        ],
+        names=["query_id", "chunk_id", "vec_score", "file"],
+    )
+
+
+def ranked(found: DataFrame, block: QueryBlock) -> DataFrame:
+    """The tasks' lists cut to one list per query, with ``vec_rank``."""
     order = Window.partitionBy("query_id").orderBy("vec_score", "chunk_id")
-    ranked = found.withColumn("vec_rank", F.row_number().over(order))
+    placed = found.withColumn("vec_rank", F.row_number().over(order))
     # The literal bound lets Spark cut the lists before the shuffle.
-    return ranked.filter(F.col("vec_rank") <= block.max_fetch)
+    return placed.filter(F.col("vec_rank") <= block.max_fetch)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ragframe.functions.params import resolve_params
 from ragframe.functions.text import overlap_share, tokens
 from ragframe.functions.vectors import EmbedFn, embed
+from ragframe.operators.lsh import SignIndex, build_index
 from ragframe.operators.scoring import QueryBlock, in_scope, nearest, unit_rows
 from ragframe.session import checkpointed, new_path
 from ragframe.settings import (
@@ -180,11 +181,7 @@ def _search_block(
     approx: SignIndex | None,
 ) -> DataFrame:
     modes = block.modes
-    if approx is None:
-        candidates = nearest(store, block)
-    else:
-        block.signatures = approx.codes(block.vectors)
-        candidates = nearest(store, block, approx.codes)
+    candidates = nearest(store, block) if approx is None else approx.nearest(block)
     # The short lists are kept: whatever uses the hits, the vectors are scanned once.
     candidates = checkpointed(candidates)
     found_in = _only_files(in_scope(store, block), candidates).select(
@@ -300,24 +297,20 @@ def mmr_scores(picks: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-class SignIndex:
-    """Sign-random-projection codes: ``tables`` integers of ``bits`` bits each.
-
-    Two vectors are compared only if they agree in one table. All scoring stays
-    inside the scan, so a code shared by much of the corpus moves no rows.
-    """
-
-    def __init__(self, dim: int, bits: int = 6, tables: int = 12, seed: int = 42):
-        planes = np.random.default_rng(seed).standard_normal((dim, bits * tables))
-        self._planes, self._bits, self._tables = planes, bits, tables
-
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
-        signs = (vectors @ self._planes >= 0).reshape(-1, self._tables, self._bits)
-        return signs @ (1 << np.arange(self._bits))
-
-
 def search_lsh(
-    store: DataFrame, queries: DataFrame, dim: int, bits: int = 6, tables: int = 12, **options
+    store: DataFrame,
+    queries: DataFrame,
+    dim: int,
+    bits: int = 7,
+    tables: int = 14,
+    index: SignIndex | None = None,
+    **options,
 ) -> DataFrame:
-    """Approximate search: exact scores, but only for pairs that share a code."""
-    return search(store, queries, approx=SignIndex(dim, bits, tables), **options)
+    """Approximate search: exact scores, but only of pairs whose codes are at most one bit apart in a table.
+
+    ``index`` is one that was built from this store (:func:`ragframe.operators.lsh.build_index`);
+    without it, one is written to the shared folder first.
+    """
+    if index is None:
+        index = build_index(store, new_path(store.sparkSession, "codes"), dim, bits, tables)
+    return search(store, queries, approx=index, **options)

@@ -287,6 +287,36 @@ WHERE rank <= {k}""",
     )
 
 
+def label_lsh(bits: int, tables: int, dim: int, k: int) -> str:
+    """As label_topk, over the pairs whose codes are at most one bit apart in some table."""
+
+    def codes(name: str, table: str, key: str) -> str:
+        return f"""
+{name}_cells AS (SELECT {key} AS key, unnest(range(len(vec))) AS d, unnest(vec) AS value FROM {table}),
+{name}_sides AS (SELECT key, p, sum(value * side) AS s FROM {name}_cells JOIN planes USING (d) GROUP BY ALL),
+{name} AS (
+  SELECT key, p // {bits} AS t, sum(CASE WHEN s >= 0 THEN 1 << (p % {bits}) ELSE 0 END)::INT AS code
+  FROM {name}_sides GROUP BY ALL)"""
+
+    return with_(
+        LABEL_HITS,
+        f"""planes AS (
+  SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1 ELSE -1 END AS side
+  FROM (SELECT unnest(range({bits * tables})) AS p), (SELECT unnest(range({dim})) AS d))""",
+        codes("qcodes", "lq", "query_id"),
+        codes("vcodes", "lv", "chunk_id"),
+        """met AS (
+  SELECT DISTINCT a.key AS query_id, b.key AS chunk_id FROM qcodes a JOIN vcodes b USING (t)
+  WHERE bit_count(xor(a.code, b.code)) <= 1)""",
+        select=f"""
+SELECT query_id, rank::INT AS rank, chunk_id, round(d, 6) AS score FROM (
+  SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank
+  FROM (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(lq.vec, lv.vec), 9) AS d
+        FROM met JOIN lq USING (query_id) JOIN lv USING (chunk_id) WHERE lq.scope = 'all' OR lq.scope = lv.doc_type))
+WHERE rank <= {k}""",
+    )
+
+
 # --- text --------------------------------------------------------------------
 
 

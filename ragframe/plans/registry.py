@@ -815,11 +815,11 @@ def search_auto(spark, sf):
     return _hit_view(search.search(fx.store(spark, sf), fx.queries(spark, sf)))
 
 
-@register("search_lsh")
+@register("search_lsh", sql.label_lsh(bits=7, tables=14, dim=64, k=6))
 def search_lsh(spark, sf):
-    """Approximate search by sign codes; no oracle (recall is checked in tests)."""
+    """Approximate search by sign codes over the whole vector table."""
     found = search.search_lsh(
-        fx.vectors(spark, sf), fx.label_queries(spark, sf), dim=64, bits=4, tables=8, mode="similarity"
+        fx.vectors(spark, sf), fx.label_queries(spark, sf), dim=64, bits=7, tables=14, mode="similarity"
     )
     return found.select("query_id", "rank", "chunk_id", score6())
 

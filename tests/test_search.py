@@ -7,7 +7,8 @@ from ragframe.functions.vectors import cosine_distance, embed
 from ragframe.operators import search as search_module
 from ragframe.operators import store as chunk_store
 from ragframe.functions.params import resolve_params
-from ragframe.operators.scoring import _Best, nearest
+from ragframe.operators.scoring import Best as _Best
+from ragframe.operators.scoring import nearest
 from ragframe.operators.search import (
     hybrid_topk,
     mmr_scores,
