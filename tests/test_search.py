@@ -1,14 +1,17 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from ragframe.functions.vectors import cosine_distance, embed
+from ragframe.functions.vectors import cosine_distance, embed, hash_embedder, vector_lists
 from ragframe.operators import search as search_module
 from ragframe.operators import store as chunk_store
 from ragframe.functions.params import resolve_params
 from ragframe.operators.scoring import Best as _Best
-from ragframe.operators.scoring import nearest
+from ragframe.operators.scoring import nearest, scored, unit_rows
 from ragframe.operators.search import (
     hybrid_topk,
     mmr_scores,
@@ -293,3 +296,42 @@ def test_buffered_lists_equal_sorting():
             want = sorted((d, n) for d, n in zip(distance[:, q], names, strict=True) if np.isfinite(d))[: fetch[q]]
             got = [(d, n) for d, n in zip(best.distance[best.query == q], best.chunk[best.query == q], strict=True)]
             assert got == want
+
+
+def test_a_task_holds_a_slice_of_a_batch_as_numbers():
+    """What scoring and embedding hold in Python does not follow the size of an Arrow batch."""
+    rng = np.random.default_rng(3)
+    rows, dim = 40_000, 64
+    vectors = rng.random((rows, dim)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * dim, pa.array(vectors.reshape(-1)))
+    ids = pa.array([f"c{i:05d}" for i in range(rows)])
+    kinds = pa.array(["external" if i % 3 == 0 else "project" for i in range(rows)])
+    names = ["chunk_id", "embedding", "file", "doc_type"]
+    batch = pa.RecordBatch.from_arrays([ids, lists, pa.array([""] * rows), kinds], names=names)
+    wanted = unit_rows(rng.random((5, dim)))
+    scopes = ["all", "external", "project", "all", "all"]
+    tracemalloc.start()
+    found = list(scored(iter([batch]), list("abcde"), wanted, scopes, np.full(5, 4, dtype=np.int64)))
+    scoring = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # as float64, all vectors are 20 MB
+    assert scoring < 15e6
+    distance = np.round(1.0 - unit_rows(vectors.astype(np.float64)) @ wanted.T, 9)
+    for q, (name, scope) in enumerate(zip("abcde", scopes, strict=True)):
+        seen = [i for i in range(rows) if scope == "all" or (scope == "external") == (i % 3 == 0)]
+        want = sorted((distance[i, q], f"c{i:05d}") for i in seen)[:4]
+        got = [(r["vec_score"], r["chunk_id"]) for b in found for r in b.to_pylist() if r["query_id"] == name]
+        assert got == want
+
+    texts = pa.array([f"word{i % 50} and{i % 7}" for i in range(20_000)])
+    embedder = hash_embedder()
+    tracemalloc.start()
+    made = tracemalloc.get_traced_memory()[0]
+    for _ in vector_lists(iter([texts]), embedder):
+        pass
+    embedding = tracemalloc.get_traced_memory()[1] - made
+    tracemalloc.stop()
+    # as float64, all vectors are 40 MB
+    assert embedding < 15e6
+    got = np.concatenate([v.flatten().to_numpy().reshape(-1, 256) for v in vector_lists(iter([texts]), embedder)])
+    assert np.array_equal(got, embedder(texts.to_pylist()))
