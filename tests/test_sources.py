@@ -3,6 +3,7 @@ import json
 import pytest
 
 from ragframe.operators import store as st
+from ragframe.plans import fixtures as fx
 from ragframe.plans.ingest import ingest_tree, load_documents
 from ragframe.session import new_path
 from ragframe.sources import files
@@ -158,3 +159,26 @@ def test_tree_with_more_files_than_a_batch_holds(spark, tmp_path, monkeypatch):
         (tmp_path / f"d{i % 3}" / f"{i}.txt").write_text("x" * i)
     found = {r.rel_path: len(r.text) for r in files.read_tree(spark, str(tmp_path)).collect()}
     assert found == {f"d{i % 3}/{i}.txt": i for i in range(50)}
+
+
+def test_files_for_the_stream_follow_the_splits_of_the_table(spark, sf_dir, tmp_path):
+    """More documents are more files, not longer ones; they still come in two batches."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = str(tmp_path / "sf" / "documents.parquet")
+    docs.repartition(9, "doc_id").write.parquet(table)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    # every file is a split of its own
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        source, path = str(tmp_path / "in"), str(tmp_path / "store")
+        assert fx.incoming(spark, str(tmp_path / "sf"), source) == 9
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(list((tmp_path / "in").glob("part-*.parquet"))) == 9
+    written = spark.read.parquet(source)
+    given = fx.files(spark, sf_dir).select("rel_path", "text")
+    assert written.exceptAll(given).isEmpty() and given.exceptAll(written).isEmpty()
+    ingest_stream(spark, source, path, str(tmp_path / "progress"), max_files=5).awaitTermination()
+    assert st.commits(spark, path).count() == 2
+    # a table of one small file gives four
+    assert fx.incoming(spark, sf_dir, str(tmp_path / "small")) == 4
